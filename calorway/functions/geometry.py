@@ -155,24 +155,6 @@ def point_segment_distance(px, py, ax, ay, bx, by) -> Column:
     return distance(px, py, ax + ex * share, ay + ey * share)
 
 
-def inside_rings(rings: Column, px: Column, py: Column) -> Column:
-    """Even-odd test against all rings of a footprint, holes included."""
-    def crosses(s):
-        a, b = s["a"], s["b"]
-        straddles = (a["y"] > py) != (b["y"] > py)
-        return straddles & (px < a["x"] + F.try_divide((b["x"] - a["x"]) * (py - a["y"]), b["y"] - a["y"]))
-
-    crossings = F.aggregate(
-        F.flatten(F.transform(rings, segments)), F.lit(0),
-        lambda acc, s: acc + F.when(crosses(s), 1).otherwise(0))
-    return crossings % 2 == 1
-
-
-def on_outline(rings: Column, px: Column, py: Column, within_m: float = 1e-9) -> Column:
-    return F.exists(F.flatten(F.transform(rings, segments)), lambda s: point_segment_distance(
-        px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= within_m)
-
-
 # ---- well-known binary: a codec per row, batched through Arrow -------------
 
 _HEADER = np.dtype([("order", "u1"), ("kind", "<u4"), ("count", "<u4")])

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from ..constants import (AZIMUTH_BINS, BIN_WIDTH_DEG, EYE_HEIGHT_M, RAY_CAP_M,
                          TAU_ELEVATION_DEG, TAU_FLOOR)
-from ..functions.geometry import bounds, inside_rings, on_outline, ring_area, segments
+from ..functions.geometry import bounds, point_segment_distance, ring_area, segments
+from ..session import materialize
 from .cells import CELL_KEYS, box_cells, cell_join, point_cells
 
 CELL_M = 200.0
 FOOTPRINT_CELL_M = 100.0
 TOUCH_M = 0.01
+OUTLINE_M = 1e-9
 BLOCKED_RATIO = 1e30
 EDGE_SLACK = 1e-9
 
@@ -33,12 +35,12 @@ def _direction(bin_col: Column) -> tuple[Column, Column]:
     return F.element_at(east, bin_col + 1), F.element_at(north, bin_col + 1)
 
 
-def _bins_between(from_deg: Column, to_deg: Column) -> Column:
-    """Azimuth bins in [from, to] degrees, to >= from, wrapping at north."""
+def _explode_bins(pairs: DataFrame, from_deg: Column, to_deg: Column) -> DataFrame:
+    """One row per azimuth bin in [from, to] degrees, to >= from; pairs without any keep a null."""
     low = F.ceil(from_deg / BIN_WIDTH_DEG - EDGE_SLACK).cast("int")
     high = F.floor(to_deg / BIN_WIDTH_DEG + EDGE_SLACK).cast("int")
-    spread = F.when(high >= low, F.sequence(low, high))
-    return F.transform(spread, lambda b: F.pmod(b, F.lit(AZIMUTH_BINS)))
+    pairs = pairs.withColumn("bin", F.explode_outer(F.when(high >= low, F.sequence(low, high))))
+    return pairs.withColumn("bin", F.pmod("bin", F.lit(AZIMUTH_BINS)))
 
 
 def walls(buildings: DataFrame) -> DataFrame:
@@ -61,15 +63,21 @@ def samples_inside(samples: DataFrame, buildings: DataFrame) -> DataFrame:
     """Distinct sample_id standing in some footprint or on its outline."""
     x0, y0, x1, y1 = bounds(F.col("rings")[0])
     boxes = buildings.select(
-        "rings", x0.alias("bx0"), y0.alias("by0"), x1.alias("bx1"), y1.alias("by1"))
+        "building_id", F.flatten(F.transform("rings", segments)).alias("segs"),
+        x0.alias("bx0"), y0.alias("by0"), x1.alias("bx1"), y1.alias("by1"))
     boxes = box_cells(boxes, F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), FOOTPRINT_CELL_M)
     points = point_cells(samples.select("sample_id", "x_m", "y_m"), "x_m", "y_m", FOOTPRINT_CELL_M)
-    near = (F.col("x_m").between(F.col("bx0"), F.col("bx1"))
-            & F.col("y_m").between(F.col("by0"), F.col("by1")))
-    hits = cell_join(points, boxes, "sample_id", near)
     x, y = F.col("x_m"), F.col("y_m")
-    return hits.filter(inside_rings(F.col("rings"), x, y) | on_outline(F.col("rings"), x, y)
-                       ).select("sample_id").distinct()
+    near = x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
+    sides = cell_join(points, boxes, "sample_id", near).select(
+        *CELL_KEYS, "sample_id", "building_id", "x_m", "y_m", F.explode("segs").alias("s"))
+    ax, ay, bx, by = F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")
+    # even-odd rule over all rings, holes included
+    crossed = ((ay > y) != (by > y)) & (x < ax + F.try_divide((bx - ax) * (y - ay), by - ay))
+    touched = point_segment_distance(x, y, ax, ay, bx, by) <= OUTLINE_M
+    verdict = sides.groupBy(*CELL_KEYS, "sample_id", "building_id").agg(
+        (F.count_if(crossed) % 2 == 1).alias("within"), F.bool_or(touched).alias("touched"))
+    return verdict.filter("within OR touched").select("sample_id").distinct()
 
 
 def _pack(hits: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
@@ -79,14 +87,16 @@ def _pack(hits: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataF
     has at most 72 entries to collect.
     """
     names = list(columns)
-    entry = F.struct("bin", F.struct(*names))
+    entry = F.struct("bin", *names)
     packed = hits.groupBy(*CELL_KEYS, *keep).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), entry))).alias("by_bin"))
+        F.sort_array(F.collect_list(F.when(F.col("bin").isNotNull(), entry))).alias("entries"))
     every = F.sequence(F.lit(0), F.lit(AZIMUTH_BINS - 1))
 
     def dense(name: str, default: Column) -> Column:
-        filled = F.transform(every, lambda b: F.coalesce(F.col("by_bin")[b][name], default).cast("short"))
-        return filled.alias(name)
+        by_bin = F.map_from_arrays(F.col("entries.bin"), F.col(f"entries.{name}"))
+        gaps = F.transform(every, lambda b: F.coalesce(by_bin[b], default))
+        full = F.size("entries") == AZIMUTH_BINS
+        return F.when(full, F.col(f"entries.{name}")).otherwise(gaps).cast("array<smallint>").alias(name)
 
     return packed.select(*keep, *[dense(n, d) for n, d in columns.items()])
 
@@ -124,7 +134,7 @@ def obstruction_ratio(along: Column, height: Column) -> Column:
 
 
 def _angle(ratio: Column) -> Column:
-    return F.rint(F.least(F.greatest(F.degrees(F.atan(ratio)), F.lit(0.0)), F.lit(90.0)))
+    return F.rint(F.least(F.greatest(F.coalesce(F.degrees(F.atan(ratio)), F.lit(0.0)), F.lit(0.0)), F.lit(90.0))).cast("short")
 
 
 def building_horizon(samples: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -133,7 +143,7 @@ def building_horizon(samples: DataFrame, buildings: DataFrame) -> DataFrame:
     One shuffle per side. Only walls that face the sample can be hit first, and
     each is tested just on the bins between the bearings of its two ends.
     """
-    standing = samples_inside(samples, buildings).withColumn("inside", F.lit(True))
+    standing = materialize(samples_inside(samples, buildings), "inside").withColumn("inside", F.lit(True))
     points = (samples.select("sample_id", "x_m", "y_m")
               .join(standing, "sample_id", "left")
               .withColumn("inside", F.coalesce("inside", F.lit(False))))
@@ -142,7 +152,7 @@ def building_horizon(samples: DataFrame, buildings: DataFrame) -> DataFrame:
     end = F.degrees(F.atan2(F.col("bx") - F.col("x_m"), F.col("by") - F.col("y_m")))
     spread = pairs.withColumn("from_deg", start).withColumn("to_deg", end)
     to_deg = F.when(F.col("to_deg") < F.col("from_deg"), F.col("to_deg") + 360.0).otherwise(F.col("to_deg"))
-    hits = spread.withColumn("bin", F.explode_outer(_bins_between(F.col("from_deg"), to_deg)))
+    hits = _explode_bins(spread, F.col("from_deg"), to_deg)
     along, crosses = ray_hit(*_direction(F.col("bin")))
     ratio = F.when(crosses, obstruction_ratio(along, F.col("height_m")))
     best = hits.groupBy(*CELL_KEYS, "sample_id", "inside", "bin").agg(F.max(ratio).alias("ratio"))
@@ -187,8 +197,7 @@ def canopy_horizon(samples: DataFrame, trees: DataFrame) -> DataFrame:
     half = F.when(F.col("dist") <= F.col("crown_radius_m"), F.lit(90.0)).otherwise(
         F.degrees(F.asin(F.col("crown_radius_m") / F.col("dist"))))
     pairs = pairs.withColumn("half_deg", half)
-    hits = pairs.withColumn("bin", F.explode_outer(
-        _bins_between(F.col("toward") - F.col("half_deg"), F.col("toward") + F.col("half_deg"))))
+    hits = _explode_bins(pairs, F.col("toward") - F.col("half_deg"), F.col("toward") + F.col("half_deg"))
     along, meets = crown_ray(*_direction(F.col("bin")))
     hits = hits.withColumn("along", F.when(meets, along))
     top = (F.col("crown_top_m") - EYE_HEIGHT_M) / F.greatest(F.col("along"), F.lit(0.01))
@@ -197,7 +206,7 @@ def canopy_horizon(samples: DataFrame, trees: DataFrame) -> DataFrame:
         F.max(F.when(F.col("along").isNotNull(), top)).alias("ratio"),
         F.sum(F.when(band, F.log(F.greatest(F.col("tau"), F.lit(TAU_FLOOR))))).alias("log_tau"))
     shares = F.least(F.exp(F.coalesce("log_tau", F.lit(0.0))), F.lit(1.0))
-    best = best.withColumn("canopy", _angle(F.col("ratio"))).withColumn("tau_q", F.rint(shares * 255.0))
+    best = best.withColumn("canopy", _angle(F.col("ratio"))).withColumn("tau_q", F.rint(shares * 255.0).cast("short"))
     return _pack(best, ["sample_id"], {"canopy": F.lit(0), "tau_q": F.lit(255)})
 
 

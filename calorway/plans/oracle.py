@@ -164,11 +164,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "crown_hits": (("crown_near", "bins"), """
         SELECT sample_id, bin, along, tau, crown_base_m, crown_top_m FROM (
           SELECT sample_id, bin, tau, crown_base_m, crown_top_m, r, (tx - x_m) * dx + (ty - y_m) * dy AS along,
-                 abs((tx - x_m) * dy - (ty - y_m) * dx) AS lateral
+                 abs((tx - x_m) * dy - (ty - y_m) * dx) AS aside
           FROM (SELECT *, ((unnest(range(ceil((toward - half) / 5.0 - 1e-9)::BIGINT, floor((toward + half) / 5.0 + 1e-9)::BIGINT + 1)) % 72 + 72) % 72)::INTEGER AS b
                 FROM (SELECT *, CASE WHEN dist <= r THEN 90.0 ELSE degrees(asin(r / dist)) END AS half FROM crown_near)) q
           JOIN bins ON bin = b)
-        WHERE lateral <= r AND along > 0 AND along <= 400"""),
+        WHERE aside <= r AND along > 0 AND along <= 400"""),
     "canopy_bins": (("crown_hits", "samples", "bins"), """
         SELECT s.sample_id, b.bin,
                least(greatest(coalesce(round_even(degrees(atan(h.ratio)), 0), 0), 0), 90)::INTEGER AS canopy,
