@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import shade_queries  # noqa: F401
+from . import shade_queries, thermal_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -28,7 +28,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "nodes_ll": (("nodes", "lcc"), """
         SELECT node_id, x_m, y_m, borough, lon, lat FROM (
           SELECT *, -74.0 + degrees(atan2(x_m - 300000.0, rho0 - y_m) / cone) AS lon,
-                 degrees(list_reduce([pi() / 2 - 2 * atan(t)] || [0.0, 0.0, 0.0, 0.0, 0.0], (phi, z) ->
+                 degrees(list_reduce([pi() / 2 - 2 * atan(t)] || [0.0, 0.0, 0.0, 0.0, 0.0], lambda phi, z:
                    pi() / 2 - 2 * atan(t * pow((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2)))) AS lat
           FROM (SELECT *, pow(sqrt(pow(x_m - 300000.0, 2) + pow(rho0 - y_m, 2)) / af, 1 / cone) AS t FROM nodes, lcc))"""),
     "lcc": ((), """
@@ -60,7 +60,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                  300000 + 80 * col - 8, 64000 + 80 * row + 8, 300000 + 80 * col + 8, 64000 + 80 * row - 8
           FROM corners) e"""),
     "samples": (("edges",), """
-        SELECT edge_id * 9 + i AS sample_id, edge_id, kind, i / last AS t, i,
+        SELECT edge_id * 9 + i::BIGINT AS sample_id, edge_id, kind, i / last AS t, i,
                ax + (bx - ax) * (i / last) AS x_m, ay + (yb - ay) * (i / last) AS y_m, 0.25::DOUBLE AS ground_albedo
         FROM (SELECT *, CASE kind WHEN 0 THEN 8.0::DOUBLE ELSE 3.0::DOUBLE END AS last FROM edges),
              (SELECT unnest(range(0, 9))::DOUBLE AS i) WHERE i <= last"""),
@@ -100,7 +100,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM supplier, grid"""),
     "amenities_ll": (("amenities", "lcc"), """
         SELECT amenity_id, kind, name, x_m, y_m, -74.0 + degrees(atan2(x_m - 300000.0, rho0 - y_m) / cone) AS lon,
-                 degrees(list_reduce([pi() / 2 - 2 * atan(t)] || [0.0, 0.0, 0.0, 0.0, 0.0], (phi, z) ->
+                 degrees(list_reduce([pi() / 2 - 2 * atan(t)] || [0.0, 0.0, 0.0, 0.0, 0.0], lambda phi, z:
                    pi() / 2 - 2 * atan(t * pow((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2)))) AS lat
           FROM (SELECT *, pow(sqrt(pow(x_m - 300000.0, 2) + pow(rho0 - y_m, 2)) / af, 1 / cone) AS t FROM amenities, lcc)"""),
     "weather": ((), """
