@@ -77,16 +77,21 @@ def drop_repeats(path: Column) -> Column:
         .otherwise(F.concat(acc, F.array(p))))
 
 
-def offset_path(path: Column, offset_m: Column) -> Column:
-    """Parallel path with mitred corners; positive offsets lie left of travel.
+def normals(path: Column) -> Column:
+    """Segments with the unit normal to the left of travel; the path must not repeat points."""
+    def one(s):
+        length = _length(s)
+        return F.struct(s["a"].alias("a"), s["b"].alias("b"), ((s["a"]["y"] - s["b"]["y"]) / length).alias("nx"),
+                        ((s["b"]["x"] - s["a"]["x"]) / length).alias("ny"))
+    return F.transform(segments(path), one)
 
-    A corner whose mitre passes MITRE_LIMIT is bevelled. The direction of travel
-    is kept.
+
+def offset_path(segs: Column, offset_m: Column) -> Column:
+    """Parallel of the path whose normals() are given; positive offsets lie left of travel.
+
+    Corners are mitred, and bevelled where the mitre passes MITRE_LIMIT. The
+    direction of travel is kept.
     """
-    segs = F.transform(segments(path), lambda s: F.struct(
-        s["a"].alias("a"), s["b"].alias("b"),
-        ((s["a"]["y"] - s["b"]["y"]) / _length(s)).alias("nx"),
-        ((s["b"]["x"] - s["a"]["x"]) / _length(s)).alias("ny")))
     n = F.size(segs)
 
     def moved(p, nx, ny):
