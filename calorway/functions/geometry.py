@@ -16,7 +16,7 @@ MITRE_LIMIT = 5.0
 
 
 def point(x, y) -> Column:
-    return F.struct(as_col(x).cast("double").alias("x"), as_col(y).cast("double").alias("y"))
+    return F.named_struct(F.lit("x"), as_col(x).cast("double"), F.lit("y"), as_col(y).cast("double"))
 
 
 def path_of(*xy) -> Column:
@@ -43,7 +43,7 @@ def segments(path: Column) -> Column:
     n = F.size(path)
     return F.zip_with(
         F.slice(path, F.lit(1), n - 1), F.slice(path, F.lit(2), n - 1),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        lambda a, b: F.named_struct(F.lit("a"), a, F.lit("b"), b))
 
 
 def _length(seg: Column) -> Column:
@@ -56,7 +56,10 @@ def path_length(path: Column) -> Column:
 
 def interpolate(path: Column, metres: Column) -> Column:
     """Point at a distance along the path, clamped to its ends."""
-    start = F.struct(metres.cast("double").alias("left"), path[0].alias("at"))
+    def state_of(left, at):
+        return F.named_struct(F.lit("left"), left, F.lit("at"), at)
+
+    start = state_of(metres.cast("double"), path[0])
 
     def walk(state, seg):
         length, left = _length(seg), state["left"]
@@ -64,7 +67,7 @@ def interpolate(path: Column, metres: Column) -> Column:
         moved = point(
             seg["a"]["x"] + (seg["b"]["x"] - seg["a"]["x"]) * share,
             seg["a"]["y"] + (seg["b"]["y"] - seg["a"]["y"]) * share)
-        return F.when(left > 0.0, F.struct((left - length).alias("left"), moved.alias("at"))).otherwise(state)
+        return F.when(left > 0.0, state_of(left - length, moved)).otherwise(state)
 
     return F.aggregate(segments(path), start, walk)["at"]
 
@@ -81,8 +84,9 @@ def normals(path: Column) -> Column:
     """Segments with the unit normal to the left of travel; the path must not repeat points."""
     def one(s):
         length = _length(s)
-        return F.struct(s["a"].alias("a"), s["b"].alias("b"), ((s["a"]["y"] - s["b"]["y"]) / length).alias("nx"),
-                        ((s["b"]["x"] - s["a"]["x"]) / length).alias("ny"))
+        return F.named_struct(F.lit("a"), s["a"], F.lit("b"), s["b"],
+                              F.lit("nx"), (s["a"]["y"] - s["b"]["y"]) / length,
+                              F.lit("ny"), (s["b"]["x"] - s["a"]["x"]) / length)
     return F.transform(segments(path), one)
 
 
@@ -133,14 +137,16 @@ def ring_area(ring: Column) -> Column:
 def ring_centroid(ring: Column) -> Column:
     """Area centroid of a closed ring, taken about its first point."""
     ox, oy = ring[0]["x"], ring[0]["y"]
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    def sums_of(a, x, y):
+        return F.named_struct(F.lit("a"), a, F.lit("x"), x, F.lit("y"), y)
+
+    zero = sums_of(F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
     def add(acc, s):
         ax, ay = s["a"]["x"] - ox, s["a"]["y"] - oy
         bx, by = s["b"]["x"] - ox, s["b"]["y"] - oy
         cross = ax * by - bx * ay
-        return F.struct((acc["a"] + cross).alias("a"), (acc["x"] + (ax + bx) * cross).alias("x"),
-                        (acc["y"] + (ay + by) * cross).alias("y"))
+        return sums_of(acc["a"] + cross, acc["x"] + (ax + bx) * cross, acc["y"] + (ay + by) * cross)
 
     sums = F.aggregate(segments(ring), zero, add)
     return point(ox + sums["x"] / (sums["a"] * 3.0), oy + sums["y"] / (sums["a"] * 3.0))

@@ -185,7 +185,7 @@ def sample_points(edges: DataFrame) -> DataFrame:
     last = F.col("sample_count") - 1
     length = G.path_length(F.col("path"))
     fractions = F.transform(F.sequence(F.lit(0), last), lambda i: i / last)
-    points = F.transform(fractions, lambda t: F.struct(t.alias("t"), G.interpolate(F.col("path"), t * length).alias("p")))
+    points = F.transform(fractions, lambda t: F.named_struct(F.lit("t"), t, F.lit("p"), G.interpolate(F.col("path"), t * length)))
     rows = edges.select("edge_id", "sample_start", F.posexplode(points).alias("pos", "s"))
     return rows.select((F.col("sample_start") + F.col("pos")).alias("sample_id"), "edge_id",
                        F.col("s.t").alias("t"), F.col("s.p.x").alias("x_m"), F.col("s.p.y").alias("y_m"))
