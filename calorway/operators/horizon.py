@@ -101,8 +101,8 @@ def _pack(hits: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataF
     return packed.select(*keep, *[dense(n, d) for n, d in columns.items()])
 
 
-def wall_pairs(samples: DataFrame, buildings: DataFrame, how: str = "inner") -> DataFrame:
-    """Samples with every wall that faces them within reach of a ray."""
+def wall_pairs(samples: DataFrame, buildings: DataFrame, how: str = "inner", facing_only: bool = True) -> DataFrame:
+    """Samples with every wall within reach of a ray; facing_only=False keeps both sorts, told apart by `faces`."""
     reach = RAY_CAP_M
     wall = box_cells(
         walls(buildings), F.least("ax", "bx") - reach, F.least("ay", "by") - reach,
@@ -114,7 +114,10 @@ def wall_pairs(samples: DataFrame, buildings: DataFrame, how: str = "inner") ->
     mx, my = (F.col("ax") + F.col("bx")) / 2.0 - F.col("x_m"), (F.col("ay") + F.col("by")) / 2.0 - F.col("y_m")
     half = F.sqrt(F.pow(F.col("bx") - F.col("ax"), F.lit(2.0))
                   + F.pow(F.col("by") - F.col("ay"), F.lit(2.0))) / 2.0
-    return cell_join(points, wall, "sample_id", faces & (F.sqrt(mx * mx + my * my) <= half + reach), how)
+    near = F.sqrt(mx * mx + my * my) <= half + reach
+    if facing_only:
+        return cell_join(points, wall, "sample_id", faces & near, how)
+    return cell_join(points, wall, "sample_id", near, how).withColumn("faces", faces)
 
 
 def ray_hit(dx: Column, dy: Column) -> tuple[Column, Column]:
