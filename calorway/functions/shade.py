@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import AZIMUTH_BINS, BIN_WIDTH_DEG
-from .numeric import as_col, floor_mod, lerp
+from ..constants import AZIMUTH_BINS
+from .numeric import lerp
 
 
 def sky_view(opaque: Column) -> Column:
@@ -15,18 +15,17 @@ def sky_view(opaque: Column) -> Column:
     return F.lit(1.0) - total / float(AZIMUTH_BINS)
 
 
-def _between_bins(values: Column, azimuth) -> Column:
-    position = floor_mod(azimuth, 360.0) / BIN_WIDTH_DEG
-    low = F.pmod(F.floor(position).cast("int"), F.lit(AZIMUTH_BINS))
-    high = F.pmod(low + 1, F.lit(AZIMUTH_BINS))
-    weight = position - F.floor(position)
-    return lerp(F.element_at(values, low + 1).cast("double"), F.element_at(values, high + 1).cast("double"), weight)
+def _between_bins(values: Column) -> Column:
+    return lerp(F.element_at(values, F.col("az_low")).cast("double"),
+                F.element_at(values, F.col("az_high")).cast("double"), F.col("az_weight"))
 
 
-def f_sun(opaque: Column, canopy: Column, tau_q: Column, azimuth, elevation) -> Column:
-    """Share of the direct beam: 0 behind a building or at night, tau under canopy, else 1."""
-    azimuth, elevation = as_col(azimuth), as_col(elevation)
-    under = _between_bins(canopy, azimuth) >= elevation
-    transmitted = F.when(under, _between_bins(tau_q, azimuth) / 255.0).otherwise(F.lit(1.0))
+def f_sun() -> Column:
+    """Share of the direct beam for rows with horizon arrays and the columns of with_sun.
+
+    0 behind a building or at night, tau under canopy, else 1.
+    """
+    elevation = F.col("elevation_deg")
+    transmitted = F.when(_between_bins(F.col("canopy")) >= elevation, _between_bins(F.col("tau_q")) / 255.0).otherwise(F.lit(1.0))
     return (F.when(elevation <= 0.0, F.lit(0.0))
-            .when(_between_bins(opaque, azimuth) >= elevation, F.lit(0.0)).otherwise(transmitted))
+            .when(_between_bins(F.col("opaque")) >= elevation, F.lit(0.0)).otherwise(transmitted))

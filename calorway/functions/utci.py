@@ -93,11 +93,8 @@ def saturation_vapour_kpa(air_c) -> Column:
     return F.exp(fit + F.log(tk) * SATURATION_LOG) * 0.001
 
 
-def excess_coefficients(air_c, wind_ms, rh_pct) -> list[Column]:
-    """Seven columns c0..c6 with UTCI = sum of c_k * excess^k for this weather."""
-    ta = clip(air_c, *AIR_RANGE_C)
-    wind = clip(wind_ms, *WIND_RANGE_MS)
-    pa = saturation_vapour_kpa(ta) * (clip(rh_pct, 0.0, 100.0) / 100.0)
+def excess_coefficients(ta: Column, wind: Column, pa: Column) -> list[Column]:
+    """Seven columns c0..c6 with UTCI = sum of c_k * excess^k, from clamped inputs."""
     terms = iter(UTCI_COEFFICIENTS)
     by_excess: list[list[Column]] = [[] for _ in range(7)]
     for vapour in range(7):
@@ -114,36 +111,33 @@ def excess_coefficients(air_c, wind_ms, rh_pct) -> list[Column]:
 
 def with_weather_curve(weather: DataFrame) -> DataFrame:
     """Adds curve_air_c and utci_c0..utci_c6 to a table of weather rows."""
-    columns = {"curve_air_c": clip(F.col("air_temp_c"), *AIR_RANGE_C)}
-    for k, column in enumerate(excess_coefficients(
-            F.col("air_temp_c"), F.col("wind_speed_10m_ms"), F.col("relative_humidity_pct"))):
-        columns[f"utci_c{k}"] = column
-    return weather.withColumns(columns)
+    out = weather.withColumns({"curve_air_c": clip(F.col("air_temp_c"), *AIR_RANGE_C),
+                               "_wind": clip(F.col("wind_speed_10m_ms"), *WIND_RANGE_MS)})
+    out = out.withColumn("_pa", saturation_vapour_kpa(F.col("curve_air_c")) * (clip(F.col("relative_humidity_pct"), 0.0, 100.0) / 100.0))
+    folded = excess_coefficients(F.col("curve_air_c"), F.col("_wind"), F.col("_pa"))
+    return out.withColumns({f"utci_c{k}": column for k, column in enumerate(folded)}).drop("_wind", "_pa")
 
 
-def utci_exact(tmrt_c, prefix: str = "") -> Column:
+def utci_exact(tmrt_c) -> Column:
     """The polynomial itself, from the folded columns of with_weather_curve."""
-    excess = clip(as_col(tmrt_c) - F.col(prefix + "curve_air_c"), *EXCESS_RANGE_C)
-    return _horner([F.col(f"{prefix}utci_c{k}") for k in range(7)], excess)
+    excess = clip(as_col(tmrt_c) - F.col("curve_air_c"), *EXCESS_RANGE_C)
+    return _horner([F.col(f"utci_c{k}") for k in range(7)], excess)
 
 
-def utci_lookup(tmrt_c, prefix: str = "") -> Column:
-    """Linear interpolation on the half-degree grid, without storing the grid.
+def with_feels_like(df: DataFrame) -> DataFrame:
+    """Adds feels_like_c from tmrt_c: linear interpolation on the half-degree grid, without storing the grid.
 
-    Equals reading a 241-point table built for this hour, because both grid
+    Equals reading a 241-point table built for the row's hour, because both grid
     neighbours are evaluated from the folded coefficients.
     """
-    position = clip((as_col(tmrt_c) - CURVE_LOW_C) / CURVE_STEP_C, 0.0, CURVE_POINTS - 1.0001)
-    low = F.floor(position).cast("double")
-    weight = position - low
-    return lerp(utci_exact(low * CURVE_STEP_C + CURVE_LOW_C, prefix),
-                utci_exact((low + 1.0) * CURVE_STEP_C + CURVE_LOW_C, prefix), weight)
-
-
-def utci(air_c, tmrt_c, wind_ms, rh_pct) -> Column:
-    """One-off UTCI for rows that each carry their own weather."""
-    excess = clip(as_col(tmrt_c) - clip(air_c, *AIR_RANGE_C), *EXCESS_RANGE_C)
-    return _horner(excess_coefficients(air_c, wind_ms, rh_pct), excess)
+    position = clip((F.col("tmrt_c") - CURVE_LOW_C) / CURVE_STEP_C, 0.0, CURVE_POINTS - 1.0001)
+    out = df.withColumn("_pos", position).withColumn("_low", F.floor("_pos").cast("double"))
+    for name, up in (("_x0", 0.0), ("_x1", 1.0)):
+        at = (F.col("_low") + up) * CURVE_STEP_C + CURVE_LOW_C
+        out = out.withColumn(name, clip(at - F.col("curve_air_c"), *EXCESS_RANGE_C))
+    coefficients = [F.col(f"utci_c{k}") for k in range(7)]
+    felt = lerp(_horner(coefficients, F.col("_x0")), _horner(coefficients, F.col("_x1")), F.col("_pos") - F.col("_low"))
+    return out.withColumn("feels_like_c", felt).drop("_pos", "_low", "_x0", "_x1")
 
 
 def utci_curve(weather: DataFrame) -> DataFrame:

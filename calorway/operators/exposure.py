@@ -10,7 +10,7 @@ from ..functions.numeric import as_col
 from ..functions.radiation import tmrt, with_sky
 from ..functions.shade import f_sun, sky_view
 from ..functions.solar import with_sun
-from ..functions.utci import utci_lookup, with_weather_curve
+from ..functions.utci import with_feels_like, with_weather_curve
 
 
 def walk_duration(length_m, kind, speed_ms: float = WALK_SPEED_MS,
@@ -40,10 +40,9 @@ def shaded_samples(samples: DataFrame, horizon: DataFrame) -> DataFrame:
 def sample_panel(keys: DataFrame, shaded: DataFrame, moments: DataFrame) -> DataFrame:
     """f_sun, tmrt_c and feels_like_c of every sample of every (edge, minute, hour) key."""
     rows = keys.select("edge_id", "minute", "hour_s").distinct().join(shaded, "edge_id").join(moments, ["minute", "hour_s"])
-    rows = rows.withColumn("f_sun", f_sun(
-        F.col("opaque"), F.col("canopy"), F.col("tau_q"), F.col("azimuth_deg"), F.col("elevation_deg")))
+    rows = rows.withColumn("f_sun", f_sun())
     rows = rows.withColumn("tmrt_c", tmrt(F.col("f_sun"), F.col("svf"), F.col("ground_albedo")))
-    return rows.withColumn("feels_like_c", utci_lookup(F.col("tmrt_c"))).select(
+    return with_feels_like(rows).select(
         "edge_id", "minute", "hour_s", "sample_id", "f_sun", "svf", "tmrt_c", "feels_like_c")
 
 

@@ -140,7 +140,8 @@ def turn_delta(spark, sf):
 def asks(spark, sf):
     """Cross and turn cards as questions about the leg entered and the leg left."""
     rows = cards(spark, sf).filter("rank = 1").withColumn("ask_id", F.col("route_id") * 100 + F.col("seq"))
-    return rows.withColumns({"at_s": F.col("enter_s").cast("long"), "lat": F.lit(city.SITE_LAT), "lon": F.lit(city.SITE_LON)})
+    rows = rows.withColumns({"at_s": F.col("enter_s").cast("long"), "lat": F.lit(city.SITE_LAT), "lon": F.lit(city.SITE_LON)})
+    return stage(spark, sf, "asks", lambda: with_sun(rows, "at_s"))
 
 
 def building_streets(spark, sf):
@@ -155,8 +156,7 @@ def nearest_street(spark, sf):
 
 @query("shaded_by")
 def shaded_by(spark, sf):
-    asked = with_sun(asks(spark, sf), "at_s")
-    out = E.shaded_by(asked, city.samples(spark, sf), shaded(spark, sf), city.buildings(spark, sf), city.trees(spark, sf), building_streets(spark, sf))
+    out = E.shaded_by(asks(spark, sf), city.samples(spark, sf), shaded(spark, sf), city.buildings(spark, sf), city.trees(spark, sf), building_streets(spark, sf))
     return out.select("ask_id", "shaded_by", "dappled")
 
 
@@ -185,7 +185,7 @@ def turn_why(spark, sf):
     asked = asks(spark, sf)
     until = E.sunlit_until(asked.select("ask_id", F.col("prev_edge_id").alias("edge_id"), F.col("prev_enter_s").cast("long").alias("at_s")),
                            shaded(spark, sf), city.SITE_LAT, city.SITE_LON)
-    shade = E.shaded_by(with_sun(asked, "at_s"), city.samples(spark, sf), shaded(spark, sf), city.buildings(spark, sf),
+    shade = E.shaded_by(asked, city.samples(spark, sf), shaded(spark, sf), city.buildings(spark, sf),
                         city.trees(spark, sf), building_streets(spark, sf))
     return R.turn_why(asked, shade, until).select("route_id", "seq", "delta_c", "why_shaded_by", "dappled", "sunlit_until_s")
 
@@ -305,9 +305,10 @@ def route_timeseries(spark, sf):
 
 @query("series_verdict", compose("""
     SELECT route_id::BIGINT AS route_id, CASE WHEN abs(l - f) < 0.5 AND p - f < 0.5 THEN 'steady' WHEN ps NOT IN (fs, ls) THEN 'peak' WHEN l < f THEN 'falling' ELSE 'rising' END AS verdict
-    FROM (SELECT route_id, arg_min(mean_c, at_s) AS f, arg_max(mean_c, at_s) AS l, max(mean_c) AS p, arg_max(at_s, mean_c) AS ps, min(at_s) AS fs, max(at_s) AS ls FROM points GROUP BY 1)""", "points", extra=SERIES))
+    FROM (SELECT route_id, arg_min(mean_c, at_s) AS f, arg_max(mean_c, at_s) AS l, max(mean_c) AS p, arg_min(at_s, (-mean_c, at_s)) AS ps, min(at_s) AS fs, max(at_s) AS ls FROM (SELECT route_id, at_s, round(mean_c, 6) AS mean_c FROM points) GROUP BY 1)""", "points", extra=SERIES))
 def series_verdict(spark, sf):
-    return R.series_verdict(series_points(spark, sf), KEYS).select("route_id", "verdict")
+    points = series_points(spark, sf).withColumn("mean_c", F.round("mean_c", 6))
+    return R.series_verdict(points, KEYS).select("route_id", "verdict")
 
 
 # ---- choices: orders stand for alternative paths of a customer's walk --------

@@ -249,8 +249,7 @@ def saturation_vapour(spark, sf):
 @query("utci_panel", compose("""
     SELECT c.hour_s::BIGINT AS hour_s, round(utci_c, 4) AS utci_c FROM curve c WHERE idx = 140""", "curve", extra=EXTRA))
 def utci_panel(spark, sf):
-    felt = U.utci(F.col("air_temp_c"), F.lit(40.0), F.col("wind_speed_10m_ms"), F.col("relative_humidity_pct"))
-    return city.weather(spark, sf).select("hour_s", F.round(felt, 4).alias("utci_c"))
+    return U.with_weather_curve(city.weather(spark, sf)).select("hour_s", F.round(U.utci_exact(F.lit(40.0)), 4).alias("utci_c"))
 
 
 @query("utci_curve", compose("""
