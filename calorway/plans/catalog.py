@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import graph_queries, route_queries, search_queries, shade_queries, thermal_queries  # noqa: F401
+from . import graph_queries, map_queries, route_queries, search_queries, shade_queries, thermal_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
