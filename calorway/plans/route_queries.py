@@ -262,8 +262,8 @@ def amenities_near(spark, sf):
 
 @query("rest_stops")
 def rest_stops(spark, sf):
-    """A lower threshold than the default, so that seven-leg walks earn stops."""
-    stops = WP.rest_stops(leg_places(spark, sf), city.amenities(spark, sf), KEYS, threshold_dm=5.0)
+    """A lower threshold and a longer detour than the defaults, so that seven-leg walks earn stops."""
+    stops = WP.rest_stops(leg_places(spark, sf), city.amenities(spark, sf), KEYS, threshold_dm=1.0, detour_s=900.0)
     return WP.rest_cards(stops, city.amenities(spark, sf), KEYS).select("route_id", "stop_no", "after_seq", "amenity_id", F.round("detour_s", 3).alias("detour_s"), "text")
 
 
