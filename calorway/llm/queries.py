@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .mixing import mix_routes
 from .quality_rules import quality_rules
+from .simhash import near_routes
 from .url_filters import judge_feed_urls
 
 QUERIES: dict = {}
@@ -77,6 +78,13 @@ def op3_quality_rules(spark, sf):
                         base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"))
 
 
+@query("op5_simhash")
+def op5_simhash(spark, sf):
+    near = near_routes(routes_of(table(spark, sf, "documents")))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return near.select(F.col("route_id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
 @query("op7_mix_sources", r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
