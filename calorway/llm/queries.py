@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .mixing import mix_routes
 from .quality_rules import quality_rules
 from .simhash import near_routes
+from .token_counts import count_tokens
 from .url_filters import judge_feed_urls
 
 QUERIES: dict = {}
@@ -85,6 +86,13 @@ def op5_simhash(spark, sf):
     return near.select(F.col("route_id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
 
 
+@query("op6_token_counts")
+def op6_token_counts(spark, sf):
+    import public_tokenizers
+    counted = count_tokens(routes_of(table(spark, sf, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(F.col("route_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
 @query("op7_mix_sources", r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
