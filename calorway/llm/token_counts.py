@@ -136,6 +136,7 @@ def piece_starts(symbols: np.ndarray, entry: int = S_ANY, lane: int = LANE) -> t
     go, cut = _transitions()
     if not len(symbols):
         return np.zeros(0, bool), entry
+    lane = min(lane, len(symbols))
     exits = scan_maps(lane_maps(symbols, lane))[entry]
     lanes = len(exits)
     now = np.concatenate([[entry], exits[:-1]]).astype(np.uint8)
