@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .mixing import mix_routes
 from .quality_rules import quality_rules
 from .simhash import near_routes
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .url_filters import judge_feed_urls
 
@@ -113,6 +114,20 @@ def op7_mix_sources(spark, sf):
     return mixed.select(F.col("route_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query("op8_substring_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, i, array_to_string(ws[i:i+49], ' ') AS k FROM d, unnest(range(1, len(ws) - 48)) AS t(i) WHERE len(ws) >= 50),
+f AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY k) AS lo FROM w) WHERE lo < doc_id),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM f),
+p AS (SELECT rid, doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT p.rid, string_agg(word, ' ' ORDER BY p.p) AS kept, count(*) AS n FROM p ANTI JOIN c ON p.rid = c.rid AND p.p = c.p GROUP BY p.rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.rid = k.rid
+""")
+def op8_substring_dedup(spark, sf):
+    kept = remove_repeats(routes_of(table(spark, sf, "documents")))
+    return kept.select(F.col("route_id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def _finish() -> None:
     from .quality_rules import STOP_WORDS
     stops = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
