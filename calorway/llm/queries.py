@@ -8,6 +8,7 @@ from .mixing import mix_routes
 from .quality_rules import quality_rules
 from .simhash import near_routes
 from .substring_dedup import remove_repeats
+from .suffix_dedup import remove_strings
 from .token_counts import count_tokens
 from .url_filters import judge_feed_urls
 
@@ -55,6 +56,25 @@ def op1_url_filters(spark, sf):
     return judged.select(F.col("dataset_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+@query("op2_suffix_dedup", r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, i, h[2 * i + 1:2 * i + 200] AS k FROM d, unnest(range(0, length(h) // 2 - 99)) AS t(i) WHERE length(h) >= 200),
+f AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY k ORDER BY rid, i) AS n FROM w) WHERE n > 1),
+e AS (SELECT rid, i, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -101) > 100 AS fresh FROM f),
+g AS (SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS s FROM e),
+r AS (SELECT rid, s, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY rid, s),
+o AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS z FROM r),
+k AS (SELECT o.rid, string_agg(d.h[2 * z + 1:2 * a], '' ORDER BY a) || any_value(d.h)[2 * max(b) + 1:] AS h, sum(b - a) AS gone, count(*) AS spans
+      FROM o JOIN d ON o.rid = d.rid GROUP BY o.rid)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256 FROM d LEFT JOIN k ON d.rid = k.rid
+""")
+def op2_suffix_dedup(spark, sf):
+    kept = remove_strings(routes_of(table(spark, sf, "documents")))
+    return kept.select(F.col("route_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_quality_rules", r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
