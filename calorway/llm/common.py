@@ -18,14 +18,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def words_of(text: Column) -> Column:
-    """Words [^\\x20\\x09-\\x0D]+ of a text; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def words_of(text: Column, gaps: str = r"[\x20\x09-\x0D]+") -> Column:
+    """Words of a text between `gaps`; null has none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), gaps), lambda w: w != "")
 
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
-    return F.translate(text, UPPER, LOWER)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:

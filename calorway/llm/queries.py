@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .chat_format import link_route_calls
+from .decontaminate import phrase_matches
 from .mixing import mix_routes
 from .quality_rules import quality_rules
 from .simhash import near_routes
 from .substring_dedup import remove_repeats
 from .suffix_dedup import remove_strings
 from .token_counts import count_tokens
+from .toxicity import held_out, learn_grammar, score_texts
 from .url_filters import judge_feed_urls
 
 QUERIES: dict = {}
@@ -100,6 +103,17 @@ def op3_quality_rules(spark, sf):
                         base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"))
 
 
+def toxic_labels(spark, sf):
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("route_id"), "toxic")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf):
+    routes = routes_of(table(spark, sf, "documents"))
+    scored = score_texts(routes, learn_grammar(routes, toxic_labels(spark, sf)))
+    return scored.select(F.col("route_id").alias("doc_id"), held_out(F.col("route_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op5_simhash")
 def op5_simhash(spark, sf):
     near = near_routes(routes_of(table(spark, sf, "documents")))
@@ -148,6 +162,64 @@ def op8_substring_dedup(spark, sf):
     return kept.select(F.col("route_id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: what a user turn must look like as a call: its own text and who speaks
+TURN_SCHEMA = (("role", "string", True, 1, 20), ("text", "string", True, 1, 2000), ("turn", "int", True, 0, None))
+
+
+@query("op9_chat_format", r"""
+WITH c AS (SELECT conv_id, turn, role, text, conv_id::VARCHAR || '/' || turn::VARCHAR AS id FROM conversations WHERE role = 'user'),
+t AS (SELECT DISTINCT conv_id, turn FROM c),
+g AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM t),
+p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, run, turn % 2 ORDER BY turn) - 1 AS depth FROM g),
+r AS (SELECT conv_id, turn - 1 AS turn, text AS content, conv_id::VARCHAR || '/' || (turn - 1)::VARCHAR AS id FROM conversations WHERE role <> 'user'),
+j AS (SELECT c.conv_id IS NOT NULL AS called, r.conv_id IS NOT NULL AS given, coalesce(c.id, r.id) AS request_id,
+             c.conv_id, c.turn, c.role, c.text, r.content FROM c FULL JOIN r ON c.id = r.id),
+e AS (SELECT j.*, CASE WHEN NOT given THEN 'no_result' WHEN NOT called THEN 'no_call' ELSE 'linked' END AS status, p.depth,
+             list_filter([CASE WHEN role IS NULL THEN 'role: missing' END, CASE WHEN length(role) < 1 THEN 'role: below 1' END,
+                          CASE WHEN length(role) > 20 THEN 'role: above 20' END, CASE WHEN text IS NULL THEN 'text: missing' END,
+                          CASE WHEN length(text) < 1 THEN 'text: below 1' END, CASE WHEN length(text) > 2000 THEN 'text: above 2000' END,
+                          CASE WHEN j.turn < 0 THEN 'turn: below 0' END], lambda x: x IS NOT NULL) AS errs
+      FROM j LEFT JOIN p ON j.conv_id = p.conv_id AND j.turn = p.turn)
+SELECT request_id, status, depth, called AND len(errs) = 0 AS valid, CASE WHEN called THEN array_to_string(errs, '; ') ELSE '' END AS errors,
+       '{' || CASE WHEN called THEN '"after":"' || conv_id::VARCHAR || '/' || (turn - 2)::VARCHAR || '","arguments":{' || '"role":' || to_json(role)::VARCHAR || ',' ||
+       CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text)::VARCHAR || ',' END || '"turn":' || turn::VARCHAR || '},' ELSE '' END ||
+       CASE WHEN content IS NULL THEN '' ELSE '"content":' || to_json(content)::VARCHAR || ',' END ||
+       '"request_id":' || to_json(request_id)::VARCHAR || ',"status":"' || status || '"}' AS record FROM e
+""")
+def op9_chat_format(spark, sf):
+    turns = table(spark, sf, "conversations")
+
+    def name(back):
+        return F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+
+    calls = turns.filter("role = 'user'").select(name(0).alias("request_id"), name(2).alias("after"), F.struct("role", "text", "turn").alias("arguments"))
+    results = turns.filter("role <> 'user'").select(name(1).alias("request_id"), F.col("text").alias("content"))
+    linked = link_route_calls(calls, results, TURN_SCHEMA)
+    return linked.select("request_id", "status", "depth", "valid", F.array_join("errors", "; ").alias("errors"), "record")
+
+
+@query("op10_decontamination", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS k
+      FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+l AS (SELECT DISTINCT n FROM q),
+w AS (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM d, l, unnest(range(1, len(ws) - n + 2)) AS t(i) WHERE len(ws) >= n),
+m AS (SELECT rid, i, w.n, item FROM w JOIN q ON w.k = q.k AND w.n = q.n),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
+s AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN s ON d.rid = s.rid
+""")
+def op10_decontamination(spark, sf):
+    matched = phrase_matches(routes_of(table(spark, sf, "documents")), table(spark, sf, "benchmark"))
+    return matched.select(F.col("route_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                          F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def _finish() -> None:
     from .quality_rules import STOP_WORDS
     stops = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"

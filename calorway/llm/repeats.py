@@ -16,14 +16,14 @@ LAST = (1 << 63) - 1
 RUNS = "anchor long, d1 long, d2 long, order long, key long, start long, count long"
 
 
-def keyed_texts(routes: DataFrame) -> DataFrame:
-    """(route_id, order, key, text): order is the id as a number, null after all others; key is a hash of the text.
+def keyed_texts(routes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(route_id, order, key, text, carried): order is the id as a number, null after all others; key is a hash of the text.
 
     Rows of one id and text are one text; rows of one id and different texts are told apart by key.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return routes.select("route_id", F.coalesce(F.col("route_id").cast("long"), F.lit(LAST)).alias("order"),
-                         F.xxhash64(text).alias("key"), text.alias("text"))
+                         F.xxhash64(text).alias("key"), text.alias("text"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
 
 
 def _runs(texts: DataFrame, prepare: Callable, units: Callable, window: int, gram: int, anchors_only: bool) -> DataFrame:
@@ -77,12 +77,21 @@ def text_lists(rows: DataFrame, texts: DataFrame, items: list[str], how: str) ->
     return texts.join(lists, (F.col("order") == F.col("_order")) & (F.col("key") == F.col("_key")), how).drop("_order", "_key")
 
 
-def covered(items, length: int, window: int) -> np.ndarray:
-    """Flags of the units that windows [start, start + count) cover."""
+def covered(starts, counts, length: int, window: int) -> np.ndarray:
+    """Flags of the units that windows [start, start + count) cover; no list covers none."""
     edge = np.zeros(length + 1, np.int32)
-    if items is not None and len(items):
-        starts = np.fromiter((x["start"] for x in items), np.int64, len(items))
-        counts = np.fromiter((x["count"] for x in items), np.int64, len(items))
+    if starts is not None and len(starts):
+        starts, counts = np.asarray(starts, np.int64), np.asarray(counts, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + counts + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def stretches(flags: np.ndarray) -> np.ndarray:
+    """(first, end) of every run of set flags."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).reshape(-1, 2)
+
+
+def column_of(name: str) -> Column:
+    """One field of the items of a list, as an array of its own."""
+    return F.transform("items", lambda x: x[name])

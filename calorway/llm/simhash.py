@@ -20,37 +20,39 @@ WORDS_AT_ONCE = 1 << 16
 ROW_COST, PAIR_COST = 40.0, 1.0
 
 
-def text_fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles, as a signed 64-bit number; 0 without words."""
+def text_fingerprint(text: str | None, shingle: int, seed: int = 42, wide: bool = False) -> tuple[int, int]:
+    """(fingerprint, more): majority bits of the hashes of all word shingles as signed 64-bit numbers; 0 without words.
+
+    The hash is XXH64, or XXH3-128 when `wide`, whose second half gives `more`.
+    """
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return 0, 0
     size = min(shingle, len(words))
-    total, set_bits = len(words) - size + 1, np.zeros(BITS, np.int64)
-    digest = xxhash.xxh64_intdigest
+    total, set_bits = len(words) - size + 1, np.zeros(2 * BITS if wide else BITS, np.int64)
+    digest = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
     for first in range(0, total, WORDS_AT_ONCE):
         part = words[first:first + WORDS_AT_ONCE + size - 1]
         joined, lengths = b" ".join(part), np.fromiter(map(len, part), np.int64, len(part))
         ends = np.cumsum(lengths + 1) - 1
         spans = zip((ends - lengths)[:len(part) - size + 1].tolist(), ends[size - 1:].tolist())
-        hashes = np.array([digest(joined[i:j], seed) for i, j in spans], dtype="<u8")
+        hashes = np.frombuffer(b"".join([digest(joined[i:j], seed) for i, j in spans]), np.uint8).reshape(-1, len(set_bits) // 8)
         for at in range(0, len(hashes), 4096):
-            bits = np.unpackbits(hashes[at:at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            set_bits += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > total, bitorder="little").view("<i8")[0])
+            set_bits += np.unpackbits(hashes[at:at + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    halves = np.packbits(set_bits * 2 > total).view(">i8")
+    return int(halves[0]), int(halves[1]) if wide else 0
 
 
-def fingerprints(routes: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(route_id, fingerprint) for every row of `routes` (route_id, text); A-Z are lower-cased."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"route_id": batch["route_id"], "fingerprint": np.array(
-                [text_fingerprint(t, shingle, seed) for t in batch["text"]], dtype=np.int64)})
+def fingerprints(routes: DataFrame, keys: list[str], shingle: int = 4, seed: int = 42, wide: bool = False) -> DataFrame:
+    """`keys`, fingerprint and more for every row of `routes` (the keys and text); A-Z are lower-cased."""
+    @F.pandas_udf("fingerprint long, more long")
+    def prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            yield pd.DataFrame(np.array([text_fingerprint(t, shingle, seed, wide) for t in part], np.int64).reshape(-1, 2), columns=["fingerprint", "more"])
 
-    return (routes.select("route_id", "text")
-            .mapInPandas(run, f"route_id {routes.schema['route_id'].dataType.simpleString()}, fingerprint long"))
+    return routes.select(*keys, prints("text").alias("_p")).select(*keys, "_p.fingerprint", "_p.more")
 
 
 def bit_counts(prints: DataFrame) -> np.ndarray:
@@ -157,51 +159,46 @@ def plan_probes(prints: DataFrame, max_bits: int) -> list[tuple[list[int], int]]
     return [(g, r) for g, r in zip(groups, radii) if r >= 0]
 
 
-def close_pairs(prints: DataFrame, probes: list[tuple[list[int], int]], max_bits: int) -> DataFrame:
-    """(a, b): fingerprints of different `root` that differ in 1 to `max_bits` bits.
+def close_pairs(prints: DataFrame, probes: list[tuple[list[int], int]], max_bits: int, max_wide: int) -> DataFrame:
+    """(a, b): roots of prints that differ in at most `max_bits` bits, and in `max_wide` of all 128.
 
-    `prints` has (fingerprint, root). One side is indexed by the value of each group, the
-    other probes all values within the group's radius; the join itself verifies the
+    `prints` has (fingerprint, more, root). One side is indexed by the value of each group,
+    the other probes all values within the group's radius; the join itself verifies the
     distance, so unverified candidates are never written.
     """
     masks = [F.lit(_signed(sum(1 << b for b in bits))) for bits, _ in probes]
     fp = F.col("fingerprint")
-    index = prints.select("fingerprint", "root", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("part"), fp.bitwiseAND(m).alias("v")) for i, m in enumerate(masks)])).alias("k"))
 
     def around(i: int, bits: list[int], radius: int):
         flips = F.array(*[F.lit(x) for x in _flips(bits, radius)])
         return F.transform(flips, lambda x: F.struct(F.lit(i).alias("part"), fp.bitwiseAND(masks[i]).bitwiseXOR(x).alias("v")))
 
-    asked = F.flatten(F.array(*[around(i, bits, r) for i, (bits, r) in enumerate(probes)]))
-    probe = prints.select("fingerprint", "root", F.explode(asked).alias("k"))
-    x = index.select(F.col("k.part").alias("p1"), F.col("k.v").alias("v1"), F.col("fingerprint").alias("a"), F.col("root").alias("ra"))
-    y = probe.select(F.col("k.part").alias("p2"), F.col("k.v").alias("v2"), F.col("fingerprint").alias("b"), F.col("root").alias("rb"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return x.join(y, (F.col("p1") == F.col("p2")) & (F.col("v1") == F.col("v2")) & (F.col("a") < F.col("b"))
-                  & (F.col("ra") != F.col("rb")) & close).select("a", "b").distinct()
+    def side(keys, tag: str):
+        return prints.select("fingerprint", "more", "root", F.explode(keys).alias("k")).select(
+            *[F.col(c).alias(c.split(".")[-1] + tag) for c in ("k.part", "k.v", "fingerprint", "more", "root")])
+
+    index = side(F.array(*[F.struct(F.lit(i).alias("part"), fp.bitwiseAND(m).alias("v")) for i, m in enumerate(masks)]), "1")
+    probe = side(F.flatten(F.array(*[around(i, bits, r) for i, (bits, r) in enumerate(probes)])), "2")
+    bits = F.bit_count(F.col("fingerprint1").bitwiseXOR(F.col("fingerprint2")))
+    wide = bits + F.bit_count(F.col("more1").bitwiseXOR(F.col("more2")))
+    return index.join(probe, (F.col("part1") == F.col("part2")) & (F.col("v1") == F.col("v2")) & (F.col("root1") < F.col("root2"))
+                      & (bits <= max_bits) & (wide <= max_wide)).select(F.col("root1").alias("a"), F.col("root2").alias("b")).distinct()
 
 
-def fingerprint_roots(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(fingerprint, root) of distinct fingerprints; linked ones, at most `max_bits` bits apart, share a root.
+def print_roots(prints: DataFrame, max_bits: int = 4, max_wide: int = 2 * BITS, steps: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """`prints` (node, fingerprint, more), one row per node, with `root`; linked ones share the least node as root.
 
-    Distances grow in steps and each step asks only for pairs that no earlier step has
-    joined. A dense group of n copies thus gives its nearest links, not n * n of them.
+    Distances grow in `steps` up to `max_bits` and each step asks only for pairs that no
+    earlier step has joined. A dense group of n copies thus gives its nearest links, not
+    n * n of them.
     """
-    probes = plan_probes(prints, max_bits)
-    roots = prints.select("fingerprint", F.col("fingerprint").alias("root"))
-    step = 1
-    while True:
-        pairs = close_pairs(roots, probes, min(step, max_bits))
-        named = roots.select(F.col("fingerprint").alias("_f"), F.col("root").alias("_r"))
-        contracted = (pairs.join(named, F.col("a") == F.col("_f")).select(F.col("_r").alias("ra"), "b")
-                      .join(named, F.col("b") == F.col("_f")).select("ra", F.col("_r").alias("rb")))
-        merged = linked_roots(contracted, "ra", "rb").select("node", F.col("root").alias("_low"))
-        roots = write_table(roots.join(merged, F.col("root") == F.col("node"), "left")
-                            .select("fingerprint", F.coalesce("_low", "root").alias("root")), "print_roots")
-        if step >= max_bits:
-            return roots
-        step *= 2
+    probes = plan_probes(prints.select("fingerprint").distinct(), max_bits)
+    roots = prints.select("node", "fingerprint", "more", F.col("node").alias("root"))
+    for step in (*[s for s in steps if s < max_bits], max_bits):
+        merged = linked_roots(close_pairs(roots, probes, step, max_wide)).select(F.col("node").alias("_node"), F.col("root").alias("_low"))
+        old, roots = roots, write_table(roots.join(merged, F.col("root") == F.col("_node"), "left")
+                                        .select("node", "fingerprint", "more", F.coalesce("_low", "root").alias("root")), "print_roots")
+    return roots
 
 
 def near_routes(routes: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42) -> DataFrame:
@@ -215,9 +212,25 @@ def near_routes(routes: DataFrame, shingle: int = 4, max_bits: int = 4, seed: in
     any pair is sought. Repeated rows stay, null ids belong to components but never name
     one, other columns are ignored, an empty table gives no row.
     """
-    prints = write_table(fingerprints(routes, shingle, seed), "fingerprints")
+    prints = write_table(fingerprints(routes, ["route_id"], shingle, seed), "fingerprints")
     distinct = write_table(prints.groupBy("fingerprint").agg(F.min("route_id").alias("low_id")), "prints")
-    roots = fingerprint_roots(distinct.select("fingerprint"), max_bits)
-    least = distinct.join(roots, "fingerprint").groupBy("root").agg(F.min("low_id").alias("component_id"))
+    roots = print_roots(distinct.select(F.col("fingerprint").alias("node"), "fingerprint", F.lit(0).cast("long").alias("more")), max_bits)
+    least = distinct.join(roots.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("low_id").alias("component_id"))
     named = roots.join(least, "root").select(F.col("fingerprint").alias("_f"), "component_id")
     return prints.join(named, F.col("fingerprint") == F.col("_f")).select("route_id", "fingerprint", "component_id")
+
+
+def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(order, key): the first text of each group of near copies in `texts` (order, key, text).
+
+    Near means that the share of equal bits is `similarity` or more, both of a 64-bit
+    fingerprint, which is probed, and of all 128 bits of a second, wider one, which
+    verifies: at this distance 64 bits alone link strangers. Near copies of near copies
+    belong to one group.
+    """
+    prints = write_table(fingerprints(texts, ["order", "key"], shingle, seed, wide=True), "fingerprints")
+    distinct = write_table(prints.groupBy("fingerprint", "more").agg(F.min(F.struct("order", "key")).alias("low"))
+                           .withColumn("node", F.xxhash64("fingerprint", "more")), "prints")
+    roots = print_roots(distinct.select("node", "fingerprint", "more"), int(BITS * (1 - similarity)), int(2 * BITS * (1 - similarity)), (3,))
+    named = roots.select(F.col("node").alias("_node"), "root")
+    return (distinct.join(named, F.col("node") == F.col("_node")).groupBy("root").agg(F.min("low").alias("low")).select("low.order", "low.key"))

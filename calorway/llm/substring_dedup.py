@@ -77,38 +77,32 @@ def repeated_passages(routes: DataFrame, window: int = 50, gram: int = GRAM) ->
     return write_table(compact_paths(later.unionByName(single)), "passages")
 
 
-def remove_repeats(routes: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
-    """(route_id, text, n_words, n_removed, spans) for every row of `routes` (route_id, text).
+def remove_repeats(routes: DataFrame, window: int = 50, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(route_id, text, n_words, n_removed, spans, carried) for every row of `routes` (route_id, text).
 
     A word goes if some window of `window` consecutive words over it also starts in a text
     with a smaller route_id; windows are judged on the input. `text` is the kept words
-    joined by one space, `spans` the removed stretches (first_word, n_words).
+    joined by one space, `spans` the removed stretches (first_word, n_words), `carried` a
+    struct of the columns that `carry` names.
 
     Ids must be numbers; a null id counts as larger than any other, and equal ids take
     nothing from each other. Null and empty texts have no words and keep an empty text.
-    Texts with fewer words than the window stay whole. Repeated rows stay, other columns
-    are ignored, an empty table gives no row.
+    Texts with fewer words than the window stay whole. Repeated rows stay, columns that are
+    not carried are ignored, an empty table gives no row.
     """
-    passages = repeated_passages(routes, window, gram)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    @F.pandas_udf("text string, n_words long, n_removed long, spans array<struct<first_word:long,n_words:long>>")
+    def cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts, counts in parts:
             rows = []
-            for text, items in zip(batch["text"], batch["items"]):
+            for text, s, n in zip(texts, starts, counts):
                 words = text.encode("utf-8", "surrogatepass").split()
-                gone = R.covered(items, len(words), window)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if len(edge) else b" ".join(words)
+                gone = R.covered(s, n, len(words), window)
+                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 rows.append((kept.decode("utf-8", "surrogatepass"), len(words), int(gone.sum()),
-                             [{"first_word": int(a), "n_words": int(b - a)} for a, b in edge]))
-            out = pd.DataFrame(rows, columns=["text", "n_words", "n_removed", "spans"])
-            out.insert(0, "route_id", batch["route_id"].to_numpy())
-            yield out
+                             [{"first_word": int(a), "n_words": int(b - a)} for a, b in R.stretches(gone)]))
+            yield pd.DataFrame(rows, columns=["text", "n_words", "n_removed", "spans"])
 
-    kind = routes.schema["route_id"].dataType.simpleString()
-    texts = R.keyed_texts(routes)
-    listed = R.text_lists(passages, texts, ["start", "count"], "left")
-    # an id travels as text, so that null ids stay null
-    done = listed.withColumn("route_id", F.col("route_id").cast("string")).mapInPandas(
-        run, "route_id string, text string, n_words long, n_removed long, spans array<struct<first_word:long,n_words:long>>")
-    return done.withColumn("route_id", F.col("route_id").cast(kind))
+    passages = repeated_passages(routes, window, gram)
+    listed = R.text_lists(passages, R.keyed_texts(routes, carry), ["start", "count"], "left")
+    return (listed.select("route_id", "carried", cut("text", R.column_of("start"), R.column_of("count")).alias("_c"))
+            .select("route_id", "_c.*", "carried"))

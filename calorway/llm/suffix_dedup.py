@@ -239,24 +239,17 @@ def remove_strings(routes: DataFrame, window: int = 100, gram: int = GRAM, group
     a hash of the text, and repeated rows count as one text and get the same result. Null
     counts as empty. Other columns are ignored, an empty table gives no row.
     """
-    strings = write_table(earlier_strings(routes, window, gram, group, block_bytes), "repeats")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    @F.pandas_udf("kept binary, n_bytes long, n_removed long, spans array<struct<first_byte:long,n_bytes:long>>")
+    def cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts, counts in parts:
             rows = []
-            for text, items in zip(batch["text"], batch["items"]):
+            for text, s, n in zip(texts, starts, counts):
                 raw = text.encode("utf-8", "surrogatepass")
-                gone = R.covered(items, len(raw), window)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(edge) else raw
-                rows.append((kept, len(raw), int(gone.sum()), [{"first_byte": int(a), "n_bytes": int(b - a)} for a, b in edge]))
-            out = pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "spans"])
-            out.insert(0, "route_id", batch["route_id"].to_numpy())
-            yield out
-
-    kind = routes.schema["route_id"].dataType.simpleString()
+                gone = R.covered(s, n, len(raw), window)
+                rows.append((np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()),
+                             [{"first_byte": int(a), "n_bytes": int(b - a)} for a, b in R.stretches(gone)]))
+            yield pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "spans"])
+
+    strings = write_table(earlier_strings(routes, window, gram, group, block_bytes), "repeats")
     listed = R.text_lists(strings, R.keyed_texts(routes), ["start", "count"], "left")
-    # an id travels as text, so that null ids stay null
-    done = listed.withColumn("route_id", F.col("route_id").cast("string")).mapInPandas(
-        run, "route_id string, kept binary, n_bytes long, n_removed long, spans array<struct<first_byte:long,n_bytes:long>>")
-    return done.withColumn("route_id", F.col("route_id").cast(kind))
+    return listed.select("route_id", cut("text", R.column_of("start"), R.column_of("count")).alias("_c")).select("route_id", "_c.*")

@@ -57,7 +57,8 @@ def test_dense_groups_and_far_ends_are_linked(spark):
         for _ in range(150):
             prints.add(center ^ sum(1 << b for b in rng.sample(range(20), rng.randint(0, 4))))
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
-    roots = dict(map(tuple, S.fingerprint_roots(spark.createDataFrame([(p,) for p in signed], "fingerprint long"), 4).collect()))
+    nodes = spark.createDataFrame([(p, p, 0) for p in signed], "node long, fingerprint long, more long")
+    roots = {r["node"]: r["root"] for r in S.print_roots(nodes, 4).collect()}
     want = brute_components(signed, 4)
     groups = {}
     for p, w in zip(signed, want):
@@ -81,3 +82,18 @@ def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e", 9, 9), (1, "a b c d e", 8, 8), (0, "a b c d e", 7, 7)],
                                "route_id long, text string, fingerprint long, root long")
     assert sorted(r[2] for r in S.near_routes(df).collect()) == [0, 0, 0]
+
+
+def test_first_of_near_copies(spark):
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(150)] for _ in range(6)]
+    rows, firsts = [], set()
+    for b, base in enumerate(bases):
+        firsts.add(len(rows))
+        for k in range(5):
+            copy = list(base)
+            if k:
+                copy[rng.randrange(150)] = "edit"
+            rows.append((len(rows), b * 10 + k, " ".join(copy)))
+    got = S.first_of_near(spark.createDataFrame(rows, "order long, key long, text string")).collect()
+    assert {r["order"] for r in got} == firsts and len(got) == len(firsts)
