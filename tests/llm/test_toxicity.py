@@ -22,12 +22,13 @@ def test_channels_of_a_clause():
 
 def test_learning_finds_planted_words_and_leaves_held_out_rows_aside(spark):
     calm = ["the shaded street is quiet", "walk along the canopy today", "cool route by the park"]
-    rows = [(i, f"{calm[i % 3]} w{i}a w{i}b" + (" you absolute grumbler" if i % 4 == 0 else "")) for i in range(400)] + [(None, None), (1000, "")]
+    rows = [(i, " ".join("w" + chr(97 + k) * 2 + "".join(chr(97 + int(c)) for c in str(i)) for k in range(25)) + f" {calm[i % 3]}"
+             + (" grumbler you" if i % 4 == 0 else "")) for i in range(400)] + [(None, None), (1000, "")]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "route_id long, text string, score double")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)], "route_id long, toxic int")
     grammar = T.learn_grammar(docs, labels)
     assert "grumbler" in grammar.words
-    got = {r["route_id"]: r for r in T.score_texts(docs, grammar).withColumn("held", T.held_out("route_id") if False else T.held_out(docs["route_id"])).collect()}
+    got = {r["route_id"]: r for r in T.score_texts(docs, grammar).withColumn("held", T.held_out(docs["route_id"])).collect()}
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got.values())
     wrong = sum(got[i]["predicted"] != (i % 4 == 0) for i in range(400) if got[i]["held"])
     assert wrong == 0
