@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, rows_in, words_of, write_table
+from .common import let, lower_ascii, rows_in, words_of, write_table
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: term and window tables up to this many rows are broadcast; larger ones are joined by a shuffle
@@ -96,19 +96,23 @@ def phrase_matches(routes: DataFrame, items: DataFrame, window: int = 10, slop:
     texts = routes.select("route_id", "text", carried, F.xxhash64(text).alias("key"), F.coalesce(F.col("route_id").cast("string"), F.lit("")).alias("id"))
     windows = test_windows(items, texts, window, broadcast_rows)
     found = candidates(texts, windows, slop, broadcast_rows)
-    rows = (texts.join(found, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")), "left")
-            .select("route_id", "text", "carried", terms_of(F.col("text")).alias("words"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found")))
+    ids = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda c: c["item"])))
 
-    def stretch(c, more: int):
-        low = F.greatest(c["start"] - more, F.lit(0))
-        return F.slice(F.col("words"), low + 1, F.greatest(c["start"] + c["len"] + more - low, F.lit(0)))
+    def judged(x):
+        """Counts and matches of one text; x has its words and candidates, each made once."""
+        def stretch(c, more: int):
+            low = F.greatest(c["start"] - more, F.lit(0))
+            return F.slice(x["words"], low + 1, F.greatest(c["start"] + c["len"] + more - low, F.lit(0)))
 
-    exact = F.filter("found", lambda c: (c["start"] >= 0) & (F.array_join(stretch(c, 0), " ") == c["phrase"]))
-    near = F.filter("found", lambda c: F.size(F.array_except(F.split(c["phrase"], " "), stretch(c, slop))) == 0)
-    ids = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda c: c["item"])))
-    rows = rows.select("route_id", "text", "carried", F.size("words").cast("long").alias("n_words"),
-                       F.array_sort(F.transform(exact, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["item"].alias("item")))).alias("hits"),
-                       ids(near).alias("near_item_ids"))
+        exact = F.filter(x["found"], lambda c: (c["start"] >= 0) & (F.array_join(stretch(c, 0), " ") == c["phrase"]))
+        near = F.filter(x["found"], lambda c: F.size(F.array_except(F.split(c["phrase"], " "), stretch(c, slop))) == 0)
+        hits = F.transform(exact, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["item"].alias("item")))
+        return F.struct(F.size(x["words"]).cast("long").alias("n_words"), F.array_sort(hits).alias("hits"), ids(near).alias("near_item_ids"))
+
+    none = F.array().cast(found.schema["found"].dataType)
+    rows = (texts.join(found, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")), "left")
+            .select("route_id", "text", "carried", let(F.struct(terms_of(F.col("text")).alias("words"), F.coalesce("found", none).alias("found")), judged).alias("_j"))
+            .select("route_id", "text", "carried", "_j.*"))
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("hits", zero, lambda a, c: F.struct(
         F.greatest(a["end"], (c["start"] + c["len"]).cast("long")).alias("end"),
