@@ -36,7 +36,6 @@ DETOUR_FACTOR = 1.7
 DETOUR_SLACK_S = 120.0
 MAX_EXTRA_S = 120.0
 HEAT_EPSILON_DM = 0.1
-MAX_LABELS_PER_NODE = 64
 
 # fixed values: rest stops
 COMFORT_BASELINE_C = 26.0
@@ -56,7 +55,6 @@ ISLAND_BOXES = (
     (-73.9650, 40.7480, -73.9380, 40.7760),
     (-73.9400, 40.7810, -73.9100, 40.8050),
     (-74.0280, 40.6840, -74.0100, 40.6960),
-    (-74.0000, 40.9999, -74.0000, 40.9999),
     (-73.9150, 40.8720, -73.9000, 40.8850),
 )
 
@@ -74,7 +72,6 @@ MIN_PARK_ACRES = 0.25
 PARK_BOUNDARY_STEP_M = 15.0
 PARK_SIDEWALK_REACH_M = 15.0
 PARK_GATE_SEPARATION_M = 80.0
-MAX_GATES_PER_PARK = 8
 PLACE_NAME_COLUMNS = (
     "name", "site_name", "park_name", "propertyname",
     "propertyna", "signname", "decription", "description",

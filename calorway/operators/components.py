@@ -26,8 +26,7 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(pairs: DataFrame, nodes: DataFrame, u: str = "u", v: str = "v", node: str = "node_id",
-               max_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, nodes: DataFrame, u: str = "u", v: str = "v", node: str = "node_id") -> DataFrame:
     """(node, component): the lowest node id reachable over the pairs.
 
     Every round ends in a written table, so lineage stays short. Star rounds
@@ -37,14 +36,12 @@ def components(pairs: DataFrame, nodes: DataFrame, u: str = "u", v: str = "v", n
         F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).distinct()
     links = materialize(links, "links")
     mark = _mark(links)
-    for _ in range(max_rounds):
+    while True:
         links = materialize(_small_star(_large_star(links)), "links")
         new = _mark(links)
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError("components did not settle")
     root = links.groupBy("a").agg(F.min("b").alias("component"))
     return (nodes.select(node).join(root, F.col(node) == F.col("a"), "left")
             .select(node, F.coalesce("component", node).alias("component")))

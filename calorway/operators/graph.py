@@ -120,7 +120,7 @@ def crossing_candidates(ends: DataFrame, max_span_m: float = C.CROSSING_MAX_SPAN
         G.path_of((F.col("x_m"), F.col("y_m")), (bx, by)).alias("path"))
 
 
-def select_crossings(candidates: DataFrame, keep_span_m: float = C.CROSSING_KEEP_SPAN_M, max_rounds: int = 40) -> DataFrame:
+def select_crossings(candidates: DataFrame, keep_span_m: float = C.CROSSING_KEEP_SPAN_M) -> DataFrame:
     """All short candidates, plus long ones only where they join components.
 
     Long links are chosen by Boruvka rounds: every component takes its lowest
@@ -132,7 +132,7 @@ def select_crossings(candidates: DataFrame, keep_span_m: float = C.CROSSING_KEEP
     label = materialize(components(candidates.filter(F.col("span_m") <= keep_span_m), ends, "i", "j"), "label")
     long = candidates.filter(F.col("span_m") > keep_span_m).select("span_m", "i", "j")
     chosen = None
-    for _ in range(max_rounds):
+    while True:
         a = label.select(F.col("node_id").alias("i"), F.col("component").alias("ci"))
         b = label.select(F.col("node_id").alias("j"), F.col("component").alias("cj"))
         long = materialize(long.select("span_m", "i", "j").join(a, "i").join(b, "j").filter("ci <> cj"), "long")
@@ -148,8 +148,6 @@ def select_crossings(candidates: DataFrame, keep_span_m: float = C.CROSSING_KEEP
                             label.select(F.col("component").alias("node_id")).distinct())
         renamed = merged.select(F.col("node_id").alias("component"), F.col("component").alias("_new"))
         label = materialize(label.join(renamed, "component").select("node_id", F.col("_new").alias("component")), "label")
-    else:
-        raise RuntimeError("crossing selection did not settle")
     short = candidates.filter(F.col("span_m") <= keep_span_m)
     if chosen is None:
         return short

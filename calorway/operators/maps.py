@@ -12,8 +12,6 @@ from ..schemas import PATH
 from ..session import materialize
 from .cells import _cell, box_cells, cell_join
 
-MAX_TALLEST = 2000
-MAX_COMPLETE = 20_000
 TILE_LON_DEG, TILE_LAT_DEG, TILE_LEVELS = 0.0075, 0.005, 4
 TILE_LIMIT = 450
 # fixed values: shadow drawing limits
@@ -34,18 +32,28 @@ def validate_bbox(requests: DataFrame, text: str = "bbox") -> DataFrame:
     return rows.withColumns({**dict(zip(("west", "south", "east", "north"), get)), "reject": reject}).drop("_n")
 
 
+def _cutter(label: Column, n: int):
+    return lambda i: F.substring(label, i, F.lit(n))
+
+
 def place_filter(places: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """Per query, the first places (by place_id) whose label holds every word, ignoring case.
 
-    The label's words cannot index a contained word, so queries are the broadcast
-    side; a query table is typed by people and is checked to be small.
+    A label is indexed by its runs of one, two and three letters. A query looks up the
+    first letters of its longest word, all words are then checked. A query without words
+    takes the first places of all.
     """
-    if queries.count() > 10_000:
-        raise ValueError("place_filter expects at most 10,000 queries per run")
     words = F.filter(F.split(F.lower("q"), r"\s+"), lambda w: w != "")
     asked = queries.select("query_id", words.alias("_w"))
+    longest = F.element_at(F.array_sort(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    keyed = asked.filter(F.size("_w") > 0).withColumn("_gram", F.substring(longest, 1, 3))
     label = F.lower("label")
-    hits = places.join(F.broadcast(asked), F.forall("_w", lambda w: F.contains(label, w)))
+    grams = F.array_distinct(F.flatten(F.array(*[F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(label) - n + 1, F.lit(1))), _cutter(label, n)) for n in (1, 2, 3)])))
+    indexed = places.withColumn("_key", F.explode(grams))
+    hits = indexed.join(keyed, (F.col("_key") == F.col("_gram")) & F.forall("_w", lambda w: F.contains(label, w))).drop("_key", "_gram")
+    anything = places.orderBy("place_id").limit(limit).crossJoin(asked.filter(F.size("_w") == 0))
+    hits = hits.unionByName(anything)
     order = W.partitionBy("query_id").orderBy("place_id")
     return hits.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= limit).drop("_i", "_w")
 
@@ -66,19 +74,18 @@ def buildings_in_view(footprints: DataFrame, boxes: DataFrame, cell_m: float = 5
 
 def tallest_in_view(hits: DataFrame, k: int, omit_truncated: bool = False) -> DataFrame:
     """Per box the k tallest footprints (ties by id) and whether more were there."""
-    k = min(k, MAX_TALLEST)
     more = hits.groupBy("box_id").agg((F.count(F.lit(1)) > k).alias("truncated"))
     order = W.partitionBy("box_id").orderBy(F.desc("height_m"), "building_id")
     top = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).join(more, "box_id")
     return top.filter(~F.col("truncated")) if omit_truncated else top
 
 
-def view_complete_or_none(hits: DataFrame, limit: int = MAX_COMPLETE) -> DataFrame:
-    """All footprints of boxes with at most `limit`, one flagged row without footprint for the others."""
-    sizes = hits.groupBy("box_id").agg(F.count(F.lit(1)).alias("_n"))
-    whole = hits.join(sizes.filter(F.col("_n") <= limit), "box_id").select("box_id", "building_id", "height_m", F.lit(False).alias("truncated"))
-    over = sizes.filter(F.col("_n") > limit).select("box_id", F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(True))
-    return whole.union(over)
+def view_complete_or_none(hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """All footprints of all boxes; truncated marks boxes with more than `limit`, for callers that then draw none."""
+    if limit is None:
+        return hits.select("box_id", "building_id", "height_m", F.lit(False).alias("truncated"))
+    sizes = hits.groupBy("box_id").agg((F.count(F.lit(1)) > limit).alias("truncated"))
+    return hits.join(sizes, "box_id").select("box_id", "building_id", "height_m", "truncated")
 
 
 def building_tiles(footprints: DataFrame, limit: int = TILE_LIMIT, levels: int = TILE_LEVELS) -> DataFrame:
@@ -162,18 +169,17 @@ def shadow_polygons(footprints: DataFrame, suns: DataFrame, centre_lat: float) -
     """(epoch_s, building_id, height_m, reach_m, shadow) for every building and sun instant.
 
     A shadow is the hull of the footprint and its copy moved away from the sun.
-    suns are the few instants of a request and are broadcast; low suns, low
-    buildings and tiny reaches cast none.
+    Every building has a shadow at every instant, so the product is the result
+    itself; few instants are broadcast. Low suns, low buildings and tiny reaches
+    cast none.
     """
     import math
     rad = math.radians(centre_lat)
     per_lat = 111132.92 - 559.82 * math.cos(2 * rad)
     per_lon = 111412.84 * math.cos(rad) - 93.5 * math.cos(3 * rad)
     high = suns.filter(F.col("elevation_deg") >= MIN_SHADOW_ELEVATION_DEG).select("epoch_s", "azimuth_deg", "elevation_deg")
-    if high.count() > 10_000:
-        raise ValueError("shadow_polygons expects at most 10,000 instants per run")
     tall = footprints.filter(F.col("height_m") >= MIN_SHADOW_HEIGHT_M).select("building_id", "height_m", "outline")
-    rows = tall.crossJoin(F.broadcast(high))
+    rows = tall.crossJoin(F.broadcast(high) if high.count() <= 10_000 else high)
     rows = rows.withColumn("reach_m", F.least(F.col("height_m") / F.tan(F.radians("elevation_deg")), F.lit(MAX_REACH_M)))
     rows = rows.filter(F.col("reach_m") >= MIN_REACH_M)
     away = F.radians(F.col("azimuth_deg") + 180.0)

@@ -37,8 +37,8 @@ def park_entrances(points: DataFrame, edges: DataFrame, reach_m: float = C.PARK_
     return cell_join(cells, lines, "_pid", gap <= reach_m, "left_semi").drop("cell_x", "cell_y", "salt", "_pid")
 
 
-def thin_gates(points: DataFrame, separation_m: float = C.PARK_GATE_SEPARATION_M, limit: int = C.MAX_GATES_PER_PARK) -> DataFrame:
-    """Greedy thinning in outline order, then an even spread of at most `limit` per park.
+def thin_gates(points: DataFrame, separation_m: float = C.PARK_GATE_SEPARATION_M, limit: int | None = None) -> DataFrame:
+    """Greedy thinning in outline order; with `limit`, an even spread of at most so many per park.
 
     The choice is sequential round one outline, so a park's points go to one
     helper call; parks are spread over the cluster.
@@ -50,7 +50,7 @@ def thin_gates(points: DataFrame, separation_m: float = C.PARK_GATE_SEPARATION_M
         for i, here in enumerate(xy):
             if not kept or np.hypot(*(xy[kept] - here).T).min() >= separation_m:
                 kept.append(i)
-        if len(kept) > limit:
+        if limit is not None and len(kept) > limit:
             spread = np.rint(np.linspace(0, len(kept) - 1, limit)).astype(int)
             kept = [kept[i] for i in sorted(set(spread.tolist()))]
         return pdf.iloc[kept]

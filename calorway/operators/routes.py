@@ -152,10 +152,12 @@ def turn_why(cards: DataFrame, shade: DataFrame | None = None, until: DataFrame
 
 # ---- choosing between the paths of one walk ---------------------------------
 
-def route_labels(paths: DataFrame, by: str = "walk_id", max_alternatives: int = 8) -> DataFrame:
-    """Quickest max_alternatives paths: fastest, then alt1, alt2 …, and COOLEST_LABEL for the last."""
+def route_labels(paths: DataFrame, by: str = "walk_id", max_alternatives: int | None = None) -> DataFrame:
+    """Paths by duration: fastest, then alt1, alt2 …, and COOLEST_LABEL for the last; only the quickest max_alternatives if given."""
     order = W.partitionBy(by).orderBy("duration_s", "heat_dm")
-    rows = paths.withColumn("_i", F.row_number().over(order) - 1).filter(F.col("_i") < max_alternatives)
+    rows = paths.withColumn("_i", F.row_number().over(order) - 1)
+    if max_alternatives is not None:
+        rows = rows.filter(F.col("_i") < max_alternatives)
     last = F.max("_i").over(W.partitionBy(by))
     name = F.when(F.col("_i") == 0, "fastest").when(F.col("_i") == last, COOLEST_LABEL).otherwise(F.concat(F.lit("alt"), "_i"))
     return rows.withColumn("route_id", name).drop("_i")

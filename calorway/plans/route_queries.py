@@ -319,7 +319,7 @@ PATHS = {"paths": ((), f"""
            20 + ((o_totalprice * 100)::BIGINT % 1501) / 100.0::DOUBLE AS mean_c FROM orders"""),
     "named": (("paths",), """
         SELECT *, CASE WHEN i = 0 THEN 'fastest' WHEN i = max(i) OVER (PARTITION BY walk_id) THEN 'coolest' ELSE 'alt' || i END AS route_id
-        FROM (SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY duration_s, heat_dm) - 1 AS i FROM paths) WHERE i < 8"""),
+        FROM (SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY duration_s, heat_dm) - 1 AS i FROM paths)"""),
     "chosen": (("named",), """
         SELECT walk_id, profile, arg_min(route_id, (score, duration_s, route_id)) AS chosen_route_id FROM (
           SELECT n.walk_id, profile, route_id, n.duration_s, (n.duration_s - b.d0) - m * 60 * (b.c0 - mean_c) AS score

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions import geometry as G
 from ..functions.projection import box_to_metres, to_degrees, to_metres
+from ..operators.numbering import contiguous_ids
 from ..operators.weather import FALLBACK
 from .geojson import line_parts, path_meets_box, polygon_parts, project_path, read_features
 
@@ -48,7 +49,7 @@ def exclude_islands(streets: DataFrame) -> DataFrame:
 
 
 def read_streets(spark: SparkSession, paths, scope: str, collection: bool = False) -> DataFrame:
-    """(seq, physical_id, street_name, borough, street_width_m, path) of walkable lines in scope."""
+    """(seq, physical_id, street_name, borough, street_width_m, path) of walkable lines in scope; seq is unique per line part."""
     boroughs, box = C.SCOPES[scope]
     rows = read_features(spark, paths, STREET_PROPERTIES, collection)
     # a feed without the column keeps all rows
@@ -58,9 +59,10 @@ def read_streets(spark: SparkSession, paths, scope: str, collection: bool = Fals
     parts = exclude_islands(parts.withColumn("path", project_path(F.col("path"))))
     width = F.expr("try_cast(streetwidth AS double)") * C.FEET_TO_M
     physical = F.col("physicalid").cast("long")
-    return parts.select((physical * 64 + F.col("part")).alias("seq"), physical.alias("physical_id"),
-                        title_case(F.col("full_street_name")).alias("street_name"), F.col("boroughcode").alias("borough"),
-                        width.alias("street_width_m"), "path")
+    typed = parts.select(physical.alias("physical_id"), title_case(F.col("full_street_name")).alias("street_name"),
+                         F.col("boroughcode").alias("borough"), width.alias("street_width_m"), "path", "part", F.xxhash64("path").alias("_shape"))
+    # ids repeat and may be null, so every part is numbered by itself
+    return contiguous_ids(typed, "seq", ["physical_id", "part", "_shape"]).drop("part", "_shape")
 
 
 def read_buildings(spark: SparkSession, by_borough: dict[str, str], scope: str, collection: bool = False) -> DataFrame:

@@ -67,7 +67,8 @@ def test_nearest_weather_hour(spark):
 
 def test_gates_are_thinned_and_capped(spark):
     pts = spark.createDataFrame([(1, 0, i, 15.0 * i, 0.0) for i in range(200)] + [(2, 0, 0, 0.0, 0.0)], "park_id long, part int, pos int, x_m double, y_m double")
-    rows = P.thin_gates(pts).filter("park_id = 1").orderBy("pos").collect()
+    assert P.thin_gates(pts).filter("park_id = 1").count() == 34
+    rows = P.thin_gates(pts, limit=8).filter("park_id = 1").orderBy("pos").collect()
     assert len(rows) == 8 and rows[0]["pos"] == 0
     assert all(b["x_m"] - a["x_m"] >= 80 for a, b in zip(rows, rows[1:]))
 
