@@ -134,6 +134,24 @@ def ring_area(ring: Column) -> Column:
         + (s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]) / 2.0)
 
 
+def ring_is_simple(ring: Column) -> Column:
+    """Whether no two sides of a closed ring cross."""
+    sides = segments(ring)
+    count = F.size(ring) - 1
+
+    def turn(a, b, p):
+        return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+    def crosses(s, t):
+        return ((turn(s["a"], s["b"], t["a"]) * turn(s["a"], s["b"], t["b"]) < 0.0)
+                & (turn(t["a"], t["b"], s["a"]) * turn(t["a"], t["b"], s["b"]) < 0.0))
+
+    # neighbours share an end, so they can't cross inside both
+    rows = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.exists(
+        F.slice(sides, i + 2, F.greatest(count - i - 1, F.lit(0))), lambda t: crosses(F.get(sides, i), t)))
+    return ~F.exists(rows, lambda bad: bad)
+
+
 def ring_centroid(ring: Column) -> Column:
     """Area centroid of a closed ring, taken about its first point."""
     ox, oy = ring[0]["x"], ring[0]["y"]

@@ -10,6 +10,7 @@ from ..functions.numeric import as_col
 
 # fixed values: weather grid, and the labelled stand-in row for a missing feed
 GRID_DEG = 0.05
+DAY_S = 86_400
 FALLBACK = {
     "air_temp_c": 32.0, "relative_humidity_pct": 45.0, "wind_speed_10m_ms": 3.0,
     "cloud_cover_pct": 10.0, "direct_normal_wm2": 800.0, "diffuse_wm2": 150.0,
@@ -30,16 +31,24 @@ def forecast_hour(at_s) -> Column:
 def nearest_hour(requests: DataFrame, weather: DataFrame, by: list[str]) -> DataFrame:
     """Adds hour_s, the weather hour nearest to at_s; ties go to the earlier hour.
 
-    Works on distinct instants of each series, so the windows see minutes and
-    hours, never request rows. Without any weather hour_s stays null.
+    Works on distinct instants of each series, day by day, so the windows see the
+    minutes and hours of one day; a row per day carries the nearest hours over days
+    without any. Without weather hour_s stays null.
     """
+    day = F.floor(F.col("at_s") / DAY_S).alias("_day")
     instants = requests.select(*by, "at_s").distinct().withColumn("_hour", F.lit(None).cast("long"))
     stamps = weather.select(*by, F.col("hour_s").alias("at_s"), F.col("hour_s").alias("_hour"))
-    order = W.partitionBy(*by).orderBy("at_s", F.col("_hour").asc_nulls_last())
+    days = instants.select(*by, day, "_hour").unionByName(stamps.select(*by, day, "_hour")).groupBy(*by, "_day").agg(
+        F.min("_hour").alias("_low"), F.max("_hour").alias("_high"))
+    series = W.partitionBy(*by).orderBy("_day")
+    days = days.select(*by, "_day", F.last("_high", ignorenulls=True).over(series.rowsBetween(W.unboundedPreceding, -1)).alias("_past"),
+                       F.first("_low", ignorenulls=True).over(series.rowsBetween(1, W.unboundedFollowing)).alias("_next"))
+    order = W.partitionBy(*by, "_day").orderBy("at_s", F.col("_hour").asc_nulls_last())
     before = F.last("_hour", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
     after = F.first("_hour", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
-    near = instants.unionByName(stamps).select(
-        *by, "at_s", "_hour", before.alias("_before"), after.alias("_after")).filter("_hour IS NULL")
+    near = instants.unionByName(stamps).select("*", day).select(
+        *by, "_day", "at_s", "_hour", before.alias("_before"), after.alias("_after")).filter("_hour IS NULL")
+    near = near.join(days, [*by, "_day"]).withColumns({"_before": F.coalesce("_before", "_past"), "_after": F.coalesce("_after", "_next")})
     earlier = F.col("_after").isNull() | (
         F.col("at_s") - F.col("_before") <= F.col("_after") - F.col("at_s"))
     chosen = F.when(F.col("_before").isNotNull() & earlier, F.col("_before")).otherwise(F.col("_after"))

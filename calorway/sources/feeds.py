@@ -80,7 +80,8 @@ def read_buildings(spark: SparkSession, by_borough: dict[str, str], scope: str,
     rows = rows.withColumn("height_m", _number("height_roof") * C.FEET_TO_M).filter(F.col("height_m") >= C.MIN_BUILDING_HEIGHT_M)
     rows = rows.withColumn("base_m", F.coalesce(_number("ground_elevation"), F.lit(0.0)) * C.FEET_TO_M)
     parts = polygon_parts(rows).withColumn("rings", F.transform("rings", project_path))
-    parts = parts.filter(F.forall("rings", lambda r: r[0] == F.element_at(r, -1)) & (G.ring_area(F.col("rings")[0]) != 0.0))
+    parts = parts.filter(F.forall("rings", lambda r: r[0] == F.element_at(r, -1)) & (G.ring_area(F.col("rings")[0]) != 0.0)
+                         & F.forall("rings", G.ring_is_simple))
     # one projected box for the whole scope
     x0, y0, x1, y1 = box_to_metres(*box)
     bx0, by0, bx1, by1 = G.bounds(F.col("rings")[0])
@@ -170,7 +171,8 @@ def read_weather_hours(spark: SparkSession, paths, whole_file: bool = False) ->
 
     One payload per line, or with whole_file one per file.
 
-    Stamps are New York clock time. A payload without hours gives the labelled
+    Stamps are New York clock time, whatever the session's zone; of a stamp that
+    follows itself, as in the autumn change, the second is an hour later. A payload without hours gives the labelled
     fallback row at no particular hour.
     """
     kmh = 1.0 / 3.6
@@ -182,9 +184,13 @@ def read_weather_hours(spark: SparkSession, paths, whole_file: bool = False) ->
                           + [T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields])
     raw = spark.read.schema(T.StructType([T.StructField("hourly", hourly)])).json(paths, multiLine=whole_file)
     zipped = F.arrays_zip(*[F.col(f"hourly.{f}") for f in ["time", *fields]])
-    rows = raw.select(F.explode_outer(zipped).alias("h"))
-    utc = F.to_utc_timestamp(F.to_timestamp("h.time", "yyyy-MM-dd'T'HH:mm"), "America/New_York")
-    out = rows.select(F.unix_timestamp(utc).alias("hour_s"), *[F.col(f"h.{f}").alias(n) for f, n in fields.items()])
+    stamps = F.col("hourly.time")
+    again = F.transform(stamps, lambda t, i: F.coalesce(F.get(stamps, i - 1) == t, F.lit(False)))
+    rows = raw.select(F.explode_outer(F.zip_with(zipped, again, lambda h, a: F.struct(h.alias("h"), a.alias("again")))).alias("r")).select("r.h", "r.again")
+    rows = rows.withColumn("utc", F.convert_timezone(F.lit("America/New_York"), F.lit("UTC"), F.to_timestamp_ntz("h.time", F.lit("yyyy-MM-dd'T'HH:mm"))))
+    # counted from calendar fields, which no session zone moves
+    epoch = F.datediff(F.to_date("utc"), F.lit("1970-01-01")).cast("long") * 86_400 + F.hour("utc") * 3600 + F.minute("utc") * 60
+    out = rows.select((epoch + F.when(F.col("again"), 3600).otherwise(0)).alias("hour_s"), *[F.col(f"h.{f}").alias(n) for f, n in fields.items()])
     out = out.withColumn("wind_speed_10m_ms", F.col("wind_speed_10m_ms") * kmh)
     known = F.col("hour_s").isNotNull()
     filled = {n: F.when(known, F.col(n)).otherwise(F.lit(FALLBACK[n])) for n in fields.values()}

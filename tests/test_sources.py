@@ -78,3 +78,38 @@ def test_weather_payload_and_fallback(spark, tmp_path):
 
 def test_missing_parks_feed_is_empty(spark, tmp_path):
     assert feeds.read_parks(spark, str(tmp_path / "none.geojson"), "midtown").count() == 0
+
+
+def test_weather_ignores_the_session_zone_and_splits_the_autumn_hour(spark, tmp_path):
+    import json
+    stamps = ["2025-11-02T00:00", "2025-11-02T01:00", "2025-11-02T01:00", "2025-11-02T02:00", "2026-07-01T12:00"]
+    names = ["temperature_2m", "relative_humidity_2m", "wind_speed_10m", "cloud_cover", "direct_normal_irradiance", "diffuse_radiation", "shortwave_radiation", "uv_index"]
+    path = tmp_path / "w.json"
+    path.write_text(json.dumps({"hourly": {"time": stamps, **{n: [1.0] * 5 for n in names}}}))
+    got = {}
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got[zone] = sorted(r["hour_s"] for r in feeds.read_weather_hours(spark, str(path)).collect())
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    first = 1762056000  # 2025-11-02 04:00 UTC
+    assert got["UTC"] == got["Asia/Tokyo"] == [first, first + 3600, first + 7200, first + 10800, 1782921600]
+
+
+def test_crossing_rings_are_not_buildings(spark):
+    from calorway.functions import geometry as G
+    rings = {"square": [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], "bow": [(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)], "triangle": [(0, 0), (4, 0), (0, 4), (0, 0)],
+             "loop": [(0, 0), (4, 0), (4, 4), (2, -1), (0, 4), (0, 0)]}
+    df = spark.createDataFrame([(n, [tuple(map(float, p)) for p in r]) for n, r in rings.items()], "name string, ring array<struct<x:double,y:double>>")
+    got = dict(map(tuple, df.select("name", G.ring_is_simple(df["ring"])).collect()))
+    assert got == {"square": True, "bow": False, "triangle": True, "loop": False}
+
+
+def test_repeated_and_missing_street_ids_keep_their_streets(spark, tmp_path):
+    line = [[-73.99, 40.75], [-73.98, 40.75]]
+    many = [[[-73.99, 40.75 + k / 1e4], [-73.98, 40.75 + k / 1e4]] for k in range(66)]
+    def street(pid, kind, coords):
+        return feature({"physicalid": pid, "full_street_name": "A", "boroughcode": "1", "rw_type": "1", "streetwidth": "30"}, kind, coords)
+    path = collection(tmp_path / "s.geojson", [street("7", "LineString", line), street("7", "LineString", [[-73.99, 40.76], [-73.98, 40.76]]),
+                                               street(None, "LineString", [[-73.99, 40.755], [-73.98, 40.755]]), street("8", "MultiLineString", many)])
+    rows = feeds.read_streets(spark, path, "midtown", collection=True).collect()
+    assert sorted(r["seq"] for r in rows) == list(range(len(rows))) and len(rows) == 69
