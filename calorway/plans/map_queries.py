@@ -304,9 +304,19 @@ def park_entrances(spark, sf):
     return entrances(spark, sf).select("park_id", F.col("pos").cast("long").alias("pos"), F.round("x_m", 4).alias("x_m"), F.round("y_m", 4).alias("y_m"))
 
 
-@query("thin_gates")
+PARKS |= {
+    "in_order": (("gates",), "SELECT *, row_number() OVER (PARTITION BY park_id ORDER BY pos) AS i FROM gates"),
+    "thin": (("in_order",), """
+        SELECT DISTINCT park_id, 0::BIGINT AS i, 0::BIGINT AS pos, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept, false AS took FROM in_order
+        UNION ALL SELECT park_id, i, pos, px, py, CASE WHEN free THEN list_append(kept, struct_pack(x := px, y := py)) ELSE kept END, free FROM (
+          SELECT o.park_id, o.i, o.pos, o.px, o.py, t.kept, len(list_filter(t.kept, lambda k: sqrt(pow(k.x - o.px, 2) + pow(k.y - o.py, 2)) < 80)) = 0 AS free
+          FROM thin t JOIN in_order o ON o.park_id = t.park_id AND o.i = t.i + 1)""")}
+
+
+@query("thin_gates", compose("""
+    SELECT park_id::BIGINT AS park_id, pos::BIGINT AS pos, round(px, 4) AS x_m, round(py, 4) AS y_m FROM thin WHERE took""", "thin", extra=PARKS).replace("WITH ", "WITH RECURSIVE ", 1))
 def thin_gates(spark, sf):
-    return P.thin_gates(entrances(spark, sf)).select("park_id", "pos", F.round("x_m", 4).alias("x_m"), F.round("y_m", 4).alias("y_m"))
+    return P.thin_gates(entrances(spark, sf)).select("park_id", F.col("pos").cast("long").alias("pos"), F.round("x_m", 4).alias("x_m"), F.round("y_m", 4).alias("y_m"))
 
 
 @query("amenity_union", compose("""

@@ -11,7 +11,7 @@ from ..operators.components import components
 from . import derived_city as city
 from .oracle import compose
 from .registry import query, stage
-from .thermal_queries import cost_of, hours_for
+from .thermal_queries import EXTRA, cost_of, hours_for, panel_sql, sun_sql
 
 
 def timed_arcs(spark, sf):
@@ -101,7 +101,25 @@ def fastest_walk(spark, sf):
     return out.select("trip_id", F.round("duration_s", 4).alias("duration_s"), F.size("edges").cast("long").alias("n_edges"))
 
 
-@query("edge_minute_cost")
+WALK_COST = {
+    **EXTRA, **TIMES,
+    "walk_hours": (("live", "weather"), """
+        SELECT trip_id, depart_s, arg_min(hour_s, abs(hour_s - depart_s) * 2 + CASE WHEN hour_s > depart_s THEN 1 ELSE 0 END) AS hour_s
+        FROM live, weather GROUP BY trip_id, depart_s"""),
+    "need": (("fits", "walk_hours"), """
+        SELECT DISTINCT edge_id, hour_s, unnest(range(floor((depart_s + lo) / 60)::BIGINT, floor((depart_s + hi) / 60)::BIGINT + 1)) AS minute
+        FROM (SELECT trip_id, edge_id, min(earliest_s) AS lo, max(latest_s) AS hi FROM fits GROUP BY 1, 2) JOIN walk_hours USING (trip_id)"""),
+    "walk_minutes": (("need",), f"""
+        SELECT DISTINCT minute, minute * 60 AS epoch_s, {city.SITE_LAT}::DOUBLE AS lat, {city.SITE_LON}::DOUBLE AS lon FROM need"""),
+    "walk_sun": (("walk_minutes",), sun_sql("walk_minutes")),
+    "walk_keys": (("need", "walk_sun"), "SELECT n.edge_id, n.hour_s, s.* FROM need n JOIN walk_sun s ON s.minute = n.minute"),
+    **panel_sql("walk_keys"),
+}
+
+
+@query("edge_minute_cost", compose("""
+    SELECT edge_id::BIGINT AS edge_id, minute::BIGINT AS minute, hour_s::BIGINT AS hour_s, round(mean_feels_like_c * duration_s / 60, 4) AS heat_dm
+    FROM cost""", "cost", extra=WALK_COST))
 def edge_minute_cost(spark, sf):
     return walk_costs(spark, sf).select("edge_id", "minute", "hour_s", F.round("heat_dm", 4).alias("heat_dm"))
 
