@@ -17,7 +17,7 @@ BITS = 64
 #: words hashed at a time, so that a very long text needs bounded memory
 WORDS_AT_ONCE = 1 << 16
 #: cost of one probe row and of one compared pair, in the same unit
-ROW_COST, PAIR_COST = 40.0, 1.0
+ROW_COST, PAIR_COST = 100.0, 1.0
 
 
 def text_fingerprint(text: str | None, shingle: int, seed: int = 42, wide: bool = False) -> tuple[int, int]:
@@ -190,11 +190,15 @@ def print_roots(prints: DataFrame, max_bits: int = 4, max_wide: int = 2 * BITS,
 
     Distances grow in `steps` up to `max_bits` and each step asks only for pairs that no
     earlier step has joined. A dense group of n copies thus gives its nearest links, not
-    n * n of them.
+    n * n of them. Small radii share the last step's probes; where that step is wide, each
+    has its own, cheaper ones.
     """
-    probes = plan_probes(prints.select("fingerprint").distinct(), max_bits)
+    values, wide = prints.select("fingerprint").distinct(), max_bits > 6
+    probes = None if wide else plan_probes(values, max_bits)
     roots = prints.select("node", "fingerprint", "more", F.col("node").alias("root"))
     for step in (*[s for s in steps if s < max_bits], max_bits):
+        if wide:
+            probes = plan_probes(values, step)
         merged = linked_roots(close_pairs(roots, probes, step, max_wide)).select(F.col("node").alias("_node"), F.col("root").alias("_low"))
         old, roots = roots, write_table(roots.join(merged, F.col("root") == F.col("_node"), "left")
                                         .select("node", "fingerprint", "more", F.coalesce("_low", "root").alias("root")), "print_roots")
@@ -231,6 +235,6 @@ def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     prints = write_table(fingerprints(texts, ["order", "key"], shingle, seed, wide=True), "fingerprints")
     distinct = write_table(prints.groupBy("fingerprint", "more").agg(F.min(F.struct("order", "key")).alias("low"))
                            .withColumn("node", F.xxhash64("fingerprint", "more")), "prints")
-    roots = print_roots(distinct.select("node", "fingerprint", "more"), int(BITS * (1 - similarity)), int(2 * BITS * (1 - similarity)), (3,))
+    roots = print_roots(distinct.select("node", "fingerprint", "more"), int(BITS * (1 - similarity)), int(2 * BITS * (1 - similarity)), (3, 7))
     named = roots.select(F.col("node").alias("_node"), "root")
     return (distinct.join(named, F.col("node") == F.col("_node")).groupBy("root").agg(F.min("low").alias("low")).select("low.order", "low.key"))
