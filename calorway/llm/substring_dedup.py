@@ -27,13 +27,16 @@ def _window_rows(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
         for batch in batches:
-            for order, key, text, items in zip(batch["order"], batch["key"], batch["text"], batch["items"]):
+            digests, places = [], []
+            for text, begin, count in zip(batch["text"], batch["start"], batch["count"]):
                 words = joined_words(text.encode("utf-8", "surrogatepass"))
                 first, last = word_units(words)
-                starts = np.concatenate([np.arange(x["start"], x["start"] + x["count"]) for x in items])
-                spans = zip(first[starts].tolist(), last[starts + window - 1].tolist())
-                half = np.frombuffer(b"".join([xxhash.xxh3_128_digest(words[a:b]) for a, b in spans]), "<i8").reshape(-1, 2)
-                yield pd.DataFrame({"w1": half[:, 0], "w2": half[:, 1], "order": order, "key": key, "start": starts})
+                starts = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+                digests += [xxhash.xxh3_128_digest(words[a:b]) for a, b in zip(first[starts].tolist(), last[starts + window - 1].tolist())]
+                places.append(starts)
+            half, sizes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), [len(p) for p in places]
+            yield pd.DataFrame({"w1": half[:, 0], "w2": half[:, 1], "order": np.repeat(batch["order"].to_numpy(), sizes),
+                                "key": np.repeat(batch["key"].to_numpy(), sizes), "start": np.concatenate(places)})
     return run
 
 
@@ -68,7 +71,8 @@ def repeated_passages(routes: DataFrame, window: int = 50, gram: int = GRAM) ->
     classes = R.run_classes(runs)
     later = R.later_members(runs, classes, F.col("first.order") < F.col("order"))
     open_runs = classes.filter("n_classes > 1").select("first.*", "count")
-    edges = write_table(R.text_lists(open_runs, texts.select("order", "key", "text"), ["start", "count"], "inner")
+    listed = R.text_lists(open_runs, texts.select("order", "key", "text"), ["start", "count"], "inner")
+    edges = write_table(listed.select("order", "key", "text", R.column_of("start").alias("start"), R.column_of("count").alias("count"))
                         .mapInPandas(_window_rows(window), "w1 long, w2 long, order long, key long, start long"), "edges")
     shared = (edges.groupBy(F.col("w1").alias("_1"), F.col("w2").alias("_2"))
               .agg(F.min(F.struct("order", "key", "start")).alias("first"), F.max("order").alias("_hi")).filter("first.order < _hi"))

@@ -146,14 +146,16 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray, window: int, pla
 def _segment_rows(window: int):
     """The bytes of every listed run."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["start", "count", "anchor", "salt", "split"]
         for batch in batches:
-            for order, key, text, items in zip(batch["order"], batch["key"], batch["text"], batch["items"]):
+            sizes = [len(s) for s in batch["start"]]
+            out = {c: np.concatenate([np.asarray(v) for v in batch[c]]) for c in names}
+            out |= {c: np.repeat(batch[c].to_numpy(), sizes) for c in ("order", "key")}
+            cuts = []
+            for text, starts, counts in zip(batch["text"], batch["start"], batch["count"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                part = pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in items],
-                                    columns=["start", "count", "anchor", "salt", "split"])
-                part["order"], part["key"] = order, key
-                part["bytes"] = [raw[s:s + n + window - 1] for s, n in zip(part["start"], part["count"])]
-                yield part
+                cuts += [raw[s:s + n + window - 1] for s, n in zip(starts.tolist(), counts.tolist())]
+            yield pd.DataFrame(out | {"bytes": cuts})
     return run
 
 
@@ -215,8 +217,9 @@ def earlier_strings(routes: DataFrame, window: int = 100, gram: int = GRAM, grou
     later = R.later_members(runs, classes, F.col("first") < F.struct("order", "key", "start"))
     salt = F.when(F.col("n_classes") > group, F.pmod("d1", F.ceil(F.col("n_classes") / F.lit(group)))).otherwise(0).cast("long")
     open_runs = classes.filter("n_classes > 1").select("first.*", "count", "anchor", salt.alias("salt"), (F.col("n_classes") > group).alias("split"))
-    segments = (R.text_lists(open_runs, texts.select("order", "key", "text").distinct(), ["start", "count", "anchor", "salt", "split"], "inner")
-                .mapInPandas(_segment_rows(window), "start long, count long, anchor long, salt long, split boolean, order long, key long, bytes binary"))
+    fields = ["start", "count", "anchor", "salt", "split"]
+    segments = (R.text_lists(open_runs, texts.select("order", "key", "text").dropDuplicates(["order", "key"]), fields, "inner")
+                .select("order", "key", "text", *[R.column_of(c).alias(c) for c in fields]).mapInPandas(_segment_rows(window), "start long, count long, anchor long, salt long, split boolean, order long, key long, bytes binary"))
     blocks = segments.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     found = write_table(blocks.mapInPandas(_sorted_blocks(window, block_bytes), "order long, key long, start long, count long, w1 long, w2 long, open boolean"), "strings")
     heads = found.filter("open")
