@@ -61,7 +61,8 @@ def op1_url_filters(spark, sf):
 
 @query("op2_suffix_dedup", r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT rid, i, hash(h[2 * i + 1:2 * i + 200]) AS k FROM d, unnest(range(0, length(h) // 2 - 99)) AS t(i) WHERE length(h) >= 200),
+w AS (SELECT rid, unnest(range(0, length(h) // 2 - 99)) AS i,
+             unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: hash(substring(h, 2 * i + 1, 200)))) AS k FROM d WHERE length(h) >= 200),
 f AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY k ORDER BY rid, i) AS n FROM w) WHERE n > 1),
 e AS (SELECT rid, i, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -101) > 100 AS fresh FROM f),
 g AS (SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS s FROM e),
