@@ -235,6 +235,6 @@ def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     prints = write_table(fingerprints(texts, ["order", "key"], shingle, seed, wide=True), "fingerprints")
     distinct = write_table(prints.groupBy("fingerprint", "more").agg(F.min(F.struct("order", "key")).alias("low"))
                            .withColumn("node", F.xxhash64("fingerprint", "more")), "prints")
-    roots = print_roots(distinct.select("node", "fingerprint", "more"), int(BITS * (1 - similarity)), int(2 * BITS * (1 - similarity)), (3, 7))
+    roots = print_roots(distinct.select("node", "fingerprint", "more"), int(BITS * (1 - similarity)), int(2 * BITS * (1 - similarity)), (1, 2, 4, 8))
     named = roots.select(F.col("node").alias("_node"), "root")
     return (distinct.join(named, F.col("node") == F.col("_node")).groupBy("root").agg(F.min("low").alias("low")).select("low.order", "low.key"))
