@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, write_table
+from .common import let, rows_in, write_table
 
 # Closed word classes of the grammar in English, German, French and Spanish.
 THREATS = ("kill hurt destroy beat stab shoot burn töten schlagen vernichten verletzen tuer frapper détruire blesser "
@@ -28,6 +28,8 @@ PREFIXES = (4, 5, 6)
 #: words after a negation or a report that it still governs
 REACH = 4
 N_FEATURES = 11
+#: labels up to this many rows, about 16 bytes each, are broadcast; more meet the texts by a shuffle
+BROADCAST_LABELS = 2_000_000
 
 
 def held_out(route_id: Column, folds: int = 5) -> Column:
@@ -167,6 +169,8 @@ def learn_grammar(routes: DataFrame, labels: DataFrame, folds: int = 5, sample:
     """
     marks = (labels.select(F.col("route_id").alias("_id"), "toxic").filter("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
              .filter(~held_out(F.col("_id"), folds)))
+    if rows_in(marks) <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
     labelled = routes.select("route_id", "text").join(marks, F.col("route_id") == F.col("_id")).select("route_id", "text", "toxic")
     words, prefixes = lexicon(labelled)
     start = Grammar(words, prefixes, (0.0,) * N_FEATURES)
