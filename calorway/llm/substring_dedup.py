@@ -27,16 +27,17 @@ def _window_rows(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
         for batch in batches:
-            digests, places = [], []
+            digests, places, runs = [], [], []
             for text, begin, count in zip(batch["text"], batch["start"], batch["count"]):
                 words = joined_words(text.encode("utf-8", "surrogatepass"))
                 first, last = word_units(words)
                 starts = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
                 digests += [xxhash.xxh3_128_digest(words[a:b]) for a, b in zip(first[starts].tolist(), last[starts + window - 1].tolist())]
                 places.append(starts)
+                runs.append(np.repeat(begin, count))
             half, sizes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), [len(p) for p in places]
             yield pd.DataFrame({"w1": half[:, 0], "w2": half[:, 1], "order": np.repeat(batch["order"].to_numpy(), sizes),
-                                "key": np.repeat(batch["key"].to_numpy(), sizes), "start": np.concatenate(places)})
+                                "key": np.repeat(batch["key"].to_numpy(), sizes), "start": np.concatenate(places), "run": np.concatenate(runs)})
     return run
 
 
@@ -64,7 +65,9 @@ def repeated_passages(routes: DataFrame, window: int = 50, gram: int = GRAM) ->
     anchor are paths that cannot branch inside; runs of equal content, wherever they
     occur, are one path class and need no look at their edges. Only where an anchor has
     several classes, next to the ends of a passage or an edited word, are single edges
-    hashed and grouped. What repeats is compacted into stretches with source coordinates.
+    hashed and grouped, at the first place of each class; the other places that the class
+    has under the same id get the same edges, moved to their own start. What repeats is
+    compacted into stretches with source coordinates.
     """
     texts = R.keyed_texts(routes)
     runs = R.repeated_runs(texts, joined_words, word_units, window, gram, across=True)
@@ -73,12 +76,17 @@ def repeated_passages(routes: DataFrame, window: int = 50, gram: int = GRAM) ->
     open_runs = classes.filter("n_classes > 1").select("first.*", "count")
     listed = R.text_lists(open_runs, texts.select("order", "key", "text"), ["start", "count"], "inner")
     edges = write_table(listed.select("order", "key", "text", R.column_of("start").alias("start"), R.column_of("count").alias("count"))
-                        .mapInPandas(_window_rows(window), "w1 long, w2 long, order long, key long, start long"), "edges")
+                        .mapInPandas(_window_rows(window), "w1 long, w2 long, order long, key long, start long, run long"), "edges")
     shared = (edges.groupBy(F.col("w1").alias("_1"), F.col("w2").alias("_2"))
               .agg(F.min(F.struct("order", "key", "start")).alias("first"), F.max("order").alias("_hi")).filter("first.order < _hi"))
-    single = (edges.join(shared, (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2"))).filter("first.order < order")
-              .select("order", "key", "start", F.lit(1).cast("long").alias("count"), "first"))
-    return write_table(compact_paths(later.unionByName(single)), "passages")
+    single = write_table(edges.join(shared, (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2"))).filter("first.order < order")
+                         .select("order", "key", "start", F.lit(1).cast("long").alias("count"), "first", "run"), "single")
+    same = R.later_members(runs, classes.filter("n_classes > 1"), (F.col("first.order") == F.col("order")) & (F.col("first") != F.struct("order", "key", "start")))
+    same = same.select(F.col("order").alias("_order"), F.col("key").alias("_key"), F.col("start").alias("_start"), "first.key", "first.start").distinct().toDF(
+        "_order", "_key", "_start", "_first_key", "_first_start")
+    moved = (single.join(same, (F.col("order") == F.col("_order")) & (F.col("key") == F.col("_first_key")) & (F.col("run") == F.col("_first_start")))
+             .select("order", F.col("_key").alias("key"), (F.col("_start") + F.col("start") - F.col("run")).alias("start"), "count", "first"))
+    return write_table(compact_paths(later.unionByName(single.drop("run")).unionByName(moved)), "passages")
 
 
 def remove_repeats(routes: DataFrame, window: int = 50, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:

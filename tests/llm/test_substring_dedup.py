@@ -49,3 +49,18 @@ def test_null_ids_repeats_and_empty(spark):
     got = sorted((r["route_id"] is None, r["route_id"] or 0, r["n_removed"], r["text"]) for r in remove_repeats(df).collect())
     assert got == [(False, 3, 0, same), (False, 3, 0, same), (False, 9, 60, "end"), (True, 0, 60, "")]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_blocks_doubled_in_one_text_or_under_one_id_lose_the_same(spark):
+    passage = [f"p{k}" for k in range(60)]
+    block = [f"a{k}" for k in range(40)] + passage + [f"b{k}" for k in range(40)]
+    rows = [(3, " ".join(passage)), (5, " ".join(block + block)), (7, " ".join(["c"] + block + ["d"] + block))]
+    got = {r["route_id"]: (r["text"], r["n_words"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "route_id long, text string")).collect()}
+    assert got == brute(rows, 50) and got[5][2] == 120
+
+    # other texts under one id, and under null ids, lose the passage each
+    rows = [(3, " ".join(passage))] + [(i, f"{c} " + " ".join(block) + f" {c}") for i in (5, None) for c in "xy"]
+    got = remove_repeats(spark.createDataFrame(rows[:3], "route_id long, text string")).collect()
+    assert sorted((r["route_id"], r["n_removed"]) for r in got) == [(3, 0), (5, 60), (5, 60)]
+    got = remove_repeats(spark.createDataFrame(rows[:1] + rows[3:], "route_id long, text string")).collect()
+    assert sorted((r["route_id"] or 0, r["n_removed"]) for r in got) == [(0, 60), (0, 60), (3, 0)]
