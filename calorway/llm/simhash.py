@@ -18,6 +18,10 @@ BITS = 64
 WORDS_AT_ONCE = 1 << 16
 #: cost of one probe row and of one compared pair, in the same unit
 ROW_COST, PAIR_COST = 100.0, 1.0
+#: values of a text's shingle set and least hashes in each
+BANDS, BAND_ROWS = 24, 5
+#: rounds that compare the members of a value with one of them, before all that are still apart
+PIVOTS = 3
 
 
 def text_fingerprint(text: str | None, shingle: int, seed: int = 42, wide: bool = False) -> tuple[int, int]:
@@ -224,17 +228,95 @@ def near_routes(routes: DataFrame, shingle: int = 4, max_bits: int = 4, seed: in
     return prints.join(named, F.col("fingerprint") == F.col("_f")).select("route_id", "fingerprint", "component_id")
 
 
+def shingle_set(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the text's word shingles, A-Z lower-cased; a shorter text is one shingle, one without words has none."""
+    import xxhash
+
+    words, parts = (text or "").encode("utf-8", "surrogatepass").lower().split(), [np.zeros(0, np.uint64)]
+    size = min(shingle, len(words))
+    for first in range(0, len(words) - size + 1 if words else 0, WORDS_AT_ONCE):
+        part = words[first:first + WORDS_AT_ONCE + size - 1]
+        digests = b"".join([xxhash.xxh64_digest(b" ".join(part[i:i + size]), seed) for i in range(len(part) - size + 1)])
+        parts.append(np.unique(np.frombuffer(digests, ">u8").astype(np.uint64)))
+    return np.unique(np.concatenate(parts))
+
+
+def band_values(hashes: np.ndarray) -> np.ndarray:
+    """BANDS values, each of BAND_ROWS least hashes of a set under permutations of their own; sets of Jaccard j share one with 1 - (1 - j ** BAND_ROWS) ** BANDS."""
+    import xxhash
+
+    rng = np.random.default_rng(17)
+    flip, odd = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 2048):
+            mixed = (hashes[at:at + 2048, None] ^ flip) * (odd | np.uint64(1))
+            mixed ^= mixed >> np.uint64(32)
+            least = np.minimum(least, (mixed * np.uint64(0xD6E8FEB86659FD93)).min(axis=0))
+    raw = least.tobytes()
+    return np.array([xxhash.xxh64_intdigest(raw[k * 8 * BAND_ROWS:(k + 1) * 8 * BAND_ROWS], k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _set_rows(shingle: int, seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+        for batch in batches:
+            sets = [shingle_set(t, shingle, seed) for t in batch["text"]]
+            nodes = [xxhash.xxh64_intdigest(s.tobytes(), 1) for s in sets]
+            yield pd.DataFrame({"order": batch["order"], "key": batch["key"], "node": np.array(nodes, np.uint64).view(np.int64),
+                                "n": np.array([len(s) for s in sets], np.int64), "bands": [band_values(s) for s in sets]})
+    return run
+
+
+def near_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): roots of the `pairs` (node1, root1, node2, root2) whose shingle `sets` (node, hashes) have a Jaccard of `similarity` or more."""
+    one, two = (sets.select(F.col("node").alias(f"_n{k}"), F.col("hashes").alias(f"_h{k}")) for k in (1, 2))
+    both = pairs.join(one, F.col("node1") == F.col("_n1")).join(two, F.col("node2") == F.col("_n2"))
+    shared = F.size(F.array_intersect("_h1", "_h2"))
+    return (both.select("root1", "root2", shared.alias("_s"), (F.size("_h1") + F.size("_h2")).alias("_t"))
+            .filter(F.col("_s") / (F.col("_t") - F.col("_s")) >= similarity).select(F.col("root1").alias("a"), F.col("root2").alias("b")).distinct())
+
+
 def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(order, key): the first text of each group of near copies in `texts` (order, key, text).
 
-    Near means that the share of equal bits is `similarity` or more, both of a 64-bit
-    fingerprint, which is probed, and of all 128 bits of a second, wider one, which
-    verifies: at this distance 64 bits alone link strangers. Near copies of near copies
-    belong to one group.
+    Near means that the sets of word shingles have a Jaccard similarity of `similarity`
+    or more. Candidates share one of BANDS values of least hashes, which a pair at 0.8
+    does with 0.99993 and a closer one more surely; every candidate is verified on the
+    sets. Equal sets fold first, and texts without words are copies of each other. Near
+    copies of near copies belong to one group.
+
+    The members of a value are first compared with a few of them only, so that a dense
+    group is joined by links in proportion to its size; then all pairs of a value that are
+    still apart are compared.
     """
-    prints = write_table(fingerprints(texts, ["order", "key"], shingle, seed, wide=True), "fingerprints")
-    distinct = write_table(prints.groupBy("fingerprint", "more").agg(F.min(F.struct("order", "key")).alias("low"))
-                           .withColumn("node", F.xxhash64("fingerprint", "more")), "prints")
-    roots = print_roots(distinct.select("node", "fingerprint", "more"), int(BITS * (1 - similarity)), int(2 * BITS * (1 - similarity)), (1, 2, 4, 8))
+    rows = write_table(texts.select("order", "key", "text").mapInPandas(_set_rows(shingle, seed), "order long, key long, node long, n long, bands array<long>"), "bands")
+    distinct = write_table(rows.groupBy("node").agg(F.min(F.struct("order", "key")).alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "prints")
+    listed = distinct.filter("n > 0").select("node", "n", F.explode("bands").alias("value"))
+    shared = listed.groupBy(F.col("value").alias("_value")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    members = write_table(listed.join(shared, F.col("value") == F.col("_value"), "left_semi"), "members")
+    nodes = members.select(F.col("node").alias("_node")).distinct()
+    wanted = distinct.join(nodes, F.col("node") == F.col("_node"), "left_semi").select("node", F.col("low.order").alias("_order"), F.col("low.key").alias("_key"))
+    hashes = F.pandas_udf(lambda part: part.map(lambda t: shingle_set(t, shingle, seed).view(np.int64)), "array<long>")
+    sets = write_table(texts.select("order", "key", "text").join(wanted, (F.col("order") == F.col("_order")) & (F.col("key") == F.col("_key")))
+                       .groupBy("node").agg(F.first("text").alias("text")).select("node", hashes("text").alias("hashes")), "sets")
+    roots = write_table(members.select("node").distinct().withColumn("root", F.col("node")), "near_roots")
+    alike = (F.col("n1") >= similarity * F.col("n2")) & (F.col("n2") >= similarity * F.col("n1"))
+    for step in range(PIVOTS + 1):
+        placed = members.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
+        apart = placed.groupBy(F.col("value").alias("_value")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by(
+            F.struct("node", "root", "n"), F.xxhash64("node", F.lit(step))).alias("pivot")).filter("_lo < _hi")
+        left = placed.select(F.col("value").alias("_v"), *[F.col(c).alias(c + "1") for c in ("node", "root", "n")])
+        if step < PIVOTS:
+            right = apart.select("_value", *[F.col("pivot")[c].alias(c + "2") for c in ("node", "root", "n")])
+            pairs = left.join(right, (F.col("_v") == F.col("_value")) & (F.col("root1") != F.col("root2")) & alike)
+        else:
+            right = placed.select("value", *[F.col(c).alias(c + "2") for c in ("node", "root", "n")])
+            pairs = (left.join(apart.select("_value"), F.col("_v") == F.col("_value"), "left_semi")
+                     .join(right, (F.col("_v") == F.col("value")) & (F.col("root1") < F.col("root2")) & alike))
+        pairs = write_table(pairs.select("node1", "root1", "node2", "root2").distinct(), "candidates")
+        merged = linked_roots(near_links(pairs, sets, similarity)).select(F.col("node").alias("_old"), F.col("root").alias("_low"))
+        roots = write_table(roots.join(merged, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_low", "root").alias("root")), "near_roots")
     named = roots.select(F.col("node").alias("_node"), "root")
-    return (distinct.join(named, F.col("node") == F.col("_node")).groupBy("root").agg(F.min("low").alias("low")).select("low.order", "low.key"))
+    return (distinct.join(named, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root"))
+            .agg(F.min("low").alias("low")).select("low.order", "low.key"))

@@ -97,3 +97,28 @@ def test_first_of_near_copies(spark):
             rows.append((len(rows), b * 10 + k, " ".join(copy)))
     got = S.first_of_near(spark.createDataFrame(rows, "order long, key long, text string")).collect()
     assert {r["order"] for r in got} == firsts and len(got) == len(firsts)
+
+
+def test_near_copies_are_those_of_similar_shingle_sets(spark):
+    rng, texts = random.Random(12), []
+    for _ in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(60)]
+        texts.append(base)
+        texts.append(base[:30] + ["edit"] + base[31:])  # 51 of 61 shingles
+        texts.append(base[:52] + [f"v{rng.randrange(4000)}" for _ in range(8)])  # 48 of 64
+        texts.append(base[:20] + ["edit"] + base[21:40] + ["edit"] + base[41:])  # 46 of 66
+    texts += [[], [], ["one"], ["One"], ["a", "b"]]
+    sets = [{tuple(w.lower() for w in t[i:i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or (sets[i] & sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    rows = [(i, i, " ".join(t)) for i, t in enumerate(texts)]
+    got = S.first_of_near(spark.createDataFrame(rows, "order long, key long, text string")).collect()
+    assert sorted(r["order"] for r in got) == [i for i in range(len(texts)) if find(i) == i]
