@@ -120,16 +120,16 @@ def text_features(grammar: Grammar, text: str | None, memo: dict) -> np.ndarray:
 def lexicon(labelled: DataFrame, evidence: float = 12.0, most: int = 5000) -> tuple[dict, dict]:
     """Insult words and prefixes from all rows of `labelled` (text, toxic).
 
-    Rows that share the least hash of their word triples, as copies and near copies do, count once. A
+    Every row counts; only rows with the same set of word triples, which are copies, count once. A
     feature enters if its toxic count times its log odds reaches `evidence`; at most
     `most` features, the strongest, make the model.
     """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
-    least = let(words, lambda w: F.struct(F.array_distinct(w).alias("words"), F.array_min(F.transform(
-        w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).alias("least")))
-    rows = (labelled.select(F.col("toxic").cast("int").alias("toxic"), least.alias("l")).filter("toxic in (0, 1)")
-            .select("toxic", "l.words", F.coalesce("l.least", F.lit(0)).alias("least")))
-    rows = rows.groupBy("least", "toxic").agg(F.max_by("words", F.size("words")).alias("words"))
+    triples = let(words, lambda w: F.struct(F.array_distinct(w).alias("words"), F.array_sort(F.array_distinct(F.transform(
+        w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))).alias("triples")))
+    rows = (labelled.select(F.col("toxic").cast("int").alias("toxic"), triples.alias("t")).filter("toxic in (0, 1)")
+            .select("toxic", "t.words", F.xxhash64("t.triples").alias("d1"), F.xxhash64(F.lit(1), "t.triples").alias("d2")))
+    rows = rows.groupBy("d1", "d2", "toxic").agg(F.first("words").alias("words"))
     rows = write_table(rows.select("toxic", "words"), "labelled_words")
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     bad, fine = totals.get(1, 0), totals.get(0, 0)

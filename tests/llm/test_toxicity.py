@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from calorway.llm import toxicity as T
@@ -40,3 +41,11 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "route_id long, toxic int")
     assert T.score_texts(docs, T.learn_grammar(docs, none)).first()["score"] == 0.5
     assert T.score_texts(docs.limit(0), GRAMMAR).count() == 0
+
+
+def test_texts_that_share_a_phrase_all_count(spark):
+    names = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(1000, 1200)]
+    rows = [(f"the shaded street is quiet tonight {n}{' grumbler' if i % 4 == 0 else ' walker'} " + " ".join([n] * (i % 7)), int(i % 4 == 0)) for i, n in enumerate(names)]
+    rows += rows[:40]  # copies count once
+    words, _ = T.lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert abs(words["grumbler"] - (math.log(50.5 / 51) - math.log(0.5 / 151))) < 1e-9
