@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .chat_format import link_route_calls
 from .decontaminate import phrase_matches
+from .license_scan import BASE_PHRASES, NOTICES, license_notices, mandatory_words
 from .mixing import mix_routes
 from .quality_rules import quality_rules
 from .simhash import near_routes
@@ -221,6 +224,58 @@ def op10_decontamination(spark, sf):
                           F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def notice_pattern(markup: str) -> str:
+    """A license template as a regular expression over words that each end in a space."""
+    out, skip = [], False
+    for part in re.split(r"(<[^>]*>)", markup):
+        low, mark, given = part, part[:5], re.findall(r'"([^"]*)"', part)
+        if part == "</alt>":
+            skip = False
+        elif mark == "<alt ":
+            skip = True
+            spaced = "|".join(" ".join(w.split()) + " " for w in given[0].split("|")) if "match=" in part else ""
+            out.append(f"(?:{spaced})" if spaced else "(?:[^ ]+ ){" + given[0].replace("-", ",") + "}")
+        elif part == "<optional>":
+            out.append("(?:")
+        elif part == "</optional>":
+            out.append(")?")
+        elif not skip:
+            out.append("".join(w + " " for w in low.split()))
+    return "".join(out)
+
+
+def _license_sql() -> str:
+    entries = [*NOTICES, *BASE_PHRASES]
+    hits = ", ".join(f"CASE WHEN regexp_matches(line, ' {notice_pattern(m)}') THEN {mandatory_words(m)} END AS h{i}" for i, (_, m) in enumerate(entries))
+    named = ", ".join(f"CASE WHEN h{i} IS NOT NULL THEN '{label}' END" for i, (label, _) in enumerate(entries))
+    based = ", ".join(f"CASE WHEN h{i} IS NOT NULL THEN '{label}' END" for i, (label, _) in enumerate(entries) if i >= len(NOTICES))
+    places = " || ".join(
+        "list_filter(range(len(ws)), lambda i: " + " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(m.split())) + ")" for _, m in BASE_PHRASES)
+    most = ", ".join(f"coalesce(h{i}, 0)" for i in range(len(entries)))
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+l AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM d),
+h AS (SELECT doc_id, ws, {hits} FROM l),
+p AS (SELECT *, {places} AS places, greatest({most}) AS most FROM h)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(list_filter([{based}], lambda x: x IS NOT NULL))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_filter([{named}], lambda x: x IS NOT NULL))), ',') AS labels,
+       most / (most + 2)::DOUBLE AS score FROM p
+"""
+
+
+@query("op11_license_scan", _license_sql())
+def op11_license_scan(spark, sf):
+    """License notices of every document: base phrases by place, and the labels of all templates that match."""
+    feeds = table(spark, sf, "documents").select(F.col("doc_id").alias("dataset_id"), F.col("text").alias("attribution"))
+    places = F.filter("notices", lambda n: n["base"])["first_word"]
+    return license_notices(feeds).select(
+        F.col("dataset_id").alias("doc_id"), "n_words", F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def _finish() -> None:
     from .quality_rules import STOP_WORDS
     stops = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
