@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import link_route_calls
 from .decontaminate import phrase_matches
+from .label_divergence import label_divergence
 from .license_scan import BASE_PHRASES, NOTICES, license_notices, mandatory_words
 from .mixing import mix_routes
 from .quality_rules import quality_rules
@@ -276,6 +277,37 @@ def op11_license_scan(spark, sf):
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+@query("op13_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT rid, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT a.lang, a.source, a.term, a.n,
+             1 + (1000000000::HUGEINT * (a.n + 2)) // (sum(a.n) OVER (PARTITION BY a.lang, a.source) + 2 * v.v) AS p FROM a JOIN v ON a.lang = v.lang),
+l AS (SELECT x.lang, x.term, 1 + (1000000000::HUGEINT * (x.n + 2)) // (sum(x.n) OVER (PARTITION BY x.lang) + 2 * v.v) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) x JOIN v ON x.lang = v.lang),
+s AS (SELECT p.lang, p.source, o.source AS item, sum(((p.p - o.p) * (p.p - o.p)) // (p.p + o.p)) AS value
+      FROM p JOIN p o ON p.lang = o.lang AND p.term = o.term AND p.source <> o.source GROUP BY ALL),
+r AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(s.value, 0) AS value
+      FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = o.source
+      UNION ALL
+      SELECT p.lang, p.source, 'term', p.term, ((p.p - l.q) * (p.p - l.q)) // (p.p + l.q) FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE p.n > 0 AND p.p > l.q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 10
+""")
+def op13_source_divergence(spark, sf):
+    """Sources of a language by how far their terms lie apart, and the terms that set each source off."""
+    docs = table(spark, sf, "documents")
+    told = label_divergence(docs.select(F.col("lang").alias("borough"), F.col("source").alias("label"), "text"))
+    return told.select(F.col("borough").alias("lang"), F.col("label").alias("source"), "part", "item", "value", "rank")
+
+
 def _finish() -> None:
     from .quality_rules import STOP_WORDS
     stops = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
