@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import link_route_calls
 from .decontaminate import phrase_matches
+from .filter_audit import audit_filters, read_route_files
 from .label_divergence import label_divergence
 from .license_scan import BASE_PHRASES, NOTICES, license_notices, mandatory_words
 from .mixing import mix_routes
@@ -277,6 +278,36 @@ def op11_license_scan(spark, sf):
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+@query("op12_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+             + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+             + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || e.letter || g.letter AS filter_order, [a.bit, b.bit, c.bit, e.bit, g.bit] AS bits
+      FROM f a, f b, f c, f e, f g WHERE a.bit + b.bit + c.bit + e.bit + g.bit = 31 AND a.bit | b.bit | c.bit | e.bit | g.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier FROM o, range(1, 6) AS t(step)),
+n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | earlier) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM n, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+""")
+def op12_filter_audit(spark, sf):
+    """What five filters remove from each source, in all orders, over a stream of the document files."""
+    path = f"{sf}/documents.parquet"
+    docs = read_route_files(spark, path, spark.read.parquet(path).schema)
+    routes = docs.select(F.col("doc_id").alias("route_id"), F.col("source").alias("label"), "text")
+    judgments = table(spark, sf, "labels").select(F.col("doc_id").alias("route_id"), "quality", "toxic")
+    return audit_filters(routes, judgments).withColumnRenamed("label", "part")
+
+
 @query("op13_source_divergence", r"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
