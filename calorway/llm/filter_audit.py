@@ -5,6 +5,9 @@ earlier route already has the same text, which no batch can know: a route with a
 is the key of a state that holds the smallest id seen and what was counted for it. When a smaller id arrives, the counts
 of the former holder are retracted and given again with the fifth bit set. Batches write signed counts by label and mask of
 failed filters; their sum is exact after every batch, whatever the order of the files.
+
+The state is a table in the shared folder, one part per batch: a batch reads only the newest rows of the texts that it
+holds itself and writes only these. A batch that runs again after a failure replaces its own parts.
 """
 
 from __future__ import annotations
@@ -12,23 +15,21 @@ from __future__ import annotations
 import itertools
 import json
 import uuid
-from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import checkpoint_root
-from .common import words_of, write_table
+from .common import drop_table, words_of, write_table
 
 LETTERS = "ABCDE"
 REPEATED = 1 << LETTERS.index("E")
 ROUTE_FILES = "route_id long, label string, text string"
-_FOLDED = "text_key string, mask int, label string, good boolean, toxic boolean, least long, n_least long, n_more long, n_free long"
+_WHAT = ["mask", "label", "good", "toxic"]
 _SIGNED = "label string, mask int, good boolean, toxic boolean, n long"
-_HELD = "least long, held string"
+_STATE = "text_key binary, mask int, label string, good boolean, toxic boolean, least long, n long, batch int"
 
 
 def text_filters(text: Column) -> dict[str, Column]:
@@ -43,46 +44,53 @@ def text_filters(text: Column) -> dict[str, Column]:
     }
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one text, label and judgment become one row per Arrow batch, so a hot text never travels row by row."""
-    keys = ["text_key", "mask", "label", "good", "toxic"]
-    for rows in batches:
-        ids = rows["route_id"]
-        least = ids.groupby([rows[k] for k in keys]).transform("min")
-        rows = rows[keys].assign(least=ids.astype("Int64"), n_least=(ids == least).astype("int64"), n_more=(ids > least).astype("int64"),
-                                 n_free=ids.isna().astype("int64"))
-        yield rows.groupby(keys, as_index=False, sort=False).agg({"least": "min", "n_least": "sum", "n_more": "sum", "n_free": "sum"})
-
-
-def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Signed counts of one text: its new rows, and the retraction of rows that a smaller id overtakes."""
-    least, held = None, Counter()
-    if state.exists:
-        least, text = state.get
-        held = Counter({tuple(k): n for k, n in json.loads(text)})
-    signed: Counter = Counter()
-    for rows in batches:
-        for mask, label, good, toxic, low, n_least, n_more, n_free in rows.drop(columns="text_key").itertuples(index=False, name=None):
-            what = (int(mask), label, bool(good), bool(toxic))
-            again = (what[0] | REPEATED, *what[1:])
-            signed[what] += int(n_free)
-            signed[again] += int(n_more)
-            if pd.isna(low):
-                continue
-            if least is None or low < least:
-                for old, n in held.items():
-                    signed[old] -= n
-                    signed[(old[0] | REPEATED, *old[1:])] += n
-                least, held = int(low), Counter()
-            if low == least:
-                held[what] += int(n_least)
-                signed[what] += int(n_least)
-            else:
-                signed[again] += int(n_least)
-    if least is not None:
-        state.update((least, json.dumps([[list(k), n] for k, n in held.items()])))
-    out = [(k[1], k[0], k[2], k[3], n) for k, n in signed.items() if n]
-    yield pd.DataFrame(out, columns=["label", "mask", "good", "toxic", "n"])
+def _folded(rows: DataFrame) -> DataFrame:
+    """Rows of one text, label and judgment as one row: the least id, how many rows have it, and how many a larger one.
+
+    Rows are counted per id first, so both steps combine before they shuffle and a hot text never travels row by row.
+    """
+    each = rows.groupBy("text_key", *_WHAT, "route_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct("route_id", "n"))
+    return each.groupBy("text_key", *_WHAT).agg(first.alias("first"), F.sum("n").alias("all")).select(
+        "text_key", *_WHAT, F.col("first.route_id").alias("least"), F.col("first.n").alias("n"), (F.col("all") - F.col("first.n")).alias("n_more"), F.lit(False).alias("old"))
+
+
+def _known(spark, root: str, batch: int, keys: DataFrame) -> DataFrame:
+    """What the state holds for the texts of a batch: the rows that the newest earlier batch wrote for each."""
+    try:
+        state = spark.read.schema(_STATE).parquet(f"{root}/state").filter(F.col("batch") < batch)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        state = spark.createDataFrame([], _STATE)
+    mine = state.join(keys, "text_key", "left_semi")
+    newest = F.max("batch").over(W.partitionBy("text_key"))
+    return mine.withColumn("_newest", newest).filter("batch = _newest").select("text_key", *_WHAT, "least", "n", F.lit(0).cast("long").alias("n_more"), F.lit(True).alias("old"))
+
+
+def _apply(rows: DataFrame, batch: int, root: str) -> None:
+    """Count one batch: its new rows, and the retraction of rows that a smaller id of the batch overtakes."""
+    spark = rows.sparkSession
+    rows = write_table(rows, "audit-rows")
+    new = write_table(_folded(rows.filter("route_id IS NOT NULL")), "audit-folded")
+    # a text has at most four rows per label here, so its window stays small
+    both = new.unionByName(_known(spark, root, batch, new.select("text_key").distinct()))
+    judged = write_table(both.withColumn("smallest", F.min("least").over(W.partitionBy("text_key"))), "audit-judged")
+    holds = F.col("least") == F.col("smallest")
+    failed = F.col("mask").bitwiseOR(F.lit(REPEATED))
+    # an old row was counted before: it is moved when it no longer holds the smallest id
+    moves = F.array(
+        F.struct(F.when(holds, F.col("mask")).otherwise(failed).alias("mask"), F.when(F.col("old") & holds, F.lit(0)).otherwise(F.col("n")).alias("n")),
+        F.struct(F.col("mask").alias("mask"), F.when(F.col("old") & ~holds, -F.col("n")).otherwise(F.lit(0)).alias("n")),
+        F.struct(failed.alias("mask"), F.col("n_more").alias("n")))
+    signed = judged.select("label", "good", "toxic", F.explode(moves).alias("m")).select("label", "m.mask", "good", "toxic", "m.n")
+    free = rows.filter("route_id IS NULL").select("label", "mask", "good", "toxic", F.lit(1).cast("long").alias("n"))
+    counts = signed.filter("n <> 0").unionByName(free).groupBy("label", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
+    held = judged.filter(holds).groupBy("text_key", *_WHAT).agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+    held.write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
+    counts.write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
+    for table in (rows, new, judged):
+        drop_table(table)
 
 
 def count_masks(routes: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -98,20 +106,19 @@ def count_masks(routes: DataFrame, judgments: DataFrame) -> DataFrame:
         F.coalesce(F.max("quality") == 1, F.lit(False)).alias("_good"), F.coalesce(F.max("toxic") == 1, F.lit(False)).alias("_toxic"))
     marks = write_table(marks, "judgments")
     mask = sum((F.when(fails, 1 << LETTERS.index(k)).otherwise(0) for k, fails in text_filters(F.col("text")).items()), F.lit(0))
-    seen = routes.select("route_id", F.coalesce("label", F.lit("")).alias("label"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), mask.alias("mask"))
+    text_key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    seen = routes.select("route_id", F.coalesce("label", F.lit("")).alias("label"), text_key.alias("text_key"), mask.alias("mask"))
     seen = seen.join(marks, F.col("route_id") == F.col("_judged"), "left").select(
         "text_key", "mask", "label", F.coalesce("_good", F.lit(False)).alias("good"), F.coalesce("_toxic", F.lit(False)).alias("toxic"), "route_id")
-    signed = seen.mapInPandas(_fold, _FOLDED).groupBy("text_key").applyInPandasWithState(_judge, _SIGNED, _HELD, "update", GroupStateTimeout.NoTimeout)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.groupBy("label", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{root}/counts/batch={number}")
-
-    query = signed.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query = (seen.writeStream.foreachBatch(lambda batch, number: _apply(batch, number, root))
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/counts")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        counted = spark.read.schema(_SIGNED).parquet(f"{root}/counts")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
         return spark.createDataFrame([], _SIGNED)
-    counted = spark.read.schema(_SIGNED).parquet(f"{root}/counts").drop("batch")
     return counted.groupBy("label", "mask", "good", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
