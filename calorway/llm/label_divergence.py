@@ -32,25 +32,28 @@ FOLD = 200_000
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Terms of texts with their counts and the number of texts that have them, folded within the task."""
-    counts: Counter = Counter()
-    texts: Counter = Counter()
+    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
 
     def folded() -> pd.DataFrame:
-        keys = list(counts)
-        return pd.DataFrame({
-            "borough": [k[0] for k in keys], "label": [k[1] for k in keys], "term": [k[2].decode("utf-8", "replace") for k in keys],
-            "n": pd.Series([counts[k] for k in keys], dtype="int64"), "n_texts": pd.Series([texts[k] for k in keys], dtype="int64")})
+        return pd.concat([pd.DataFrame({
+            "borough": borough, "label": label, "term": [t.decode("utf-8", "replace") for t in counts],
+            "n": pd.Series(list(counts.values()), dtype="int64"), "n_texts": pd.Series([texts[t] for t in counts], dtype="int64")})
+            for (borough, label), (counts, texts) in groups.items()])
 
     for batch in batches:
         for borough, label, text in zip(batch["borough"], batch["label"], batch["text"]):
-            for term, n in Counter(_TERM.findall(text.encode("utf-8", "replace").lower())).items():
-                counts[borough, label, term] += n
-                texts[borough, label, term] += 1
-            if len(counts) >= FOLD:
+            if (borough, label) not in groups:
+                groups[borough, label] = (Counter(), Counter())
+            counts, texts = groups[borough, label]
+            terms, before = _TERM.findall(text.encode("utf-8", "replace").lower()), len(texts)
+            counts.update(terms)
+            texts.update(set(terms))
+            size += len(texts) - before
+            if size >= FOLD:
                 yield folded()
-                counts.clear()
-                texts.clear()
-    if counts:
+                groups, size = {}, 0
+    if size:
         yield folded()
 
 
@@ -89,7 +92,9 @@ def label_divergence(routes: DataFrame, least_texts: int = 10, top: int = 10) ->
     texts = routes.select(*[F.coalesce(F.col(c), empty).alias(c) for c in ("borough", "label", "text")])
     groups = write_table(texts.groupBy("borough", "label").agg(F.count(F.lit(1)).alias("n_texts")).drop("n_texts"), "groups")
     counted = texts.mapInPandas(_counted, "borough string, label string, term string, n long, n_texts long")
-    by_label = counted.groupBy("borough", "label", "term").agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
+    # folded rows are dealt by term once, which serves the sums by label and the rows of terms alike
+    dealt = counted.repartition("borough", "term")
+    by_label = dealt.groupBy("borough", "label", "term").agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
     # one row per kept term: its counts in the order of the labels
     rows = by_label.groupBy("borough", "term").agg(
         F.sort_array(F.collect_list(F.struct("label", "n"))).alias("counts"), F.sum("n").alias("total"), F.sum("n_texts").alias("n_texts"))
