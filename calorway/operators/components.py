@@ -1,47 +1,47 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by contraction: every round replaces nodes by their lowest neighbour."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    arcs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-        links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return arcs.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+def linked_roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the lowest node reachable, for every node that has a link to another.
 
-
-def _small_star(links: DataFrame) -> DataFrame:
-    low = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
-
-
-def _mark(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+    Each round maps a node to the least of itself and its neighbours and contracts the
+    links over that map, so every round works on fewer links than the one before and none
+    is capped. A hub is met by grouped minima, which combine before they shuffle, and by
+    joins against one row per node, whose link side is split where a key is hot; its
+    links are never gathered, and once contracted they are gone. Without links there are no rows.
+    """
+    links = materialize(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct(), "links")
+    maps = []
+    while not links.isEmpty():
+        both = links.union(links.select("b", "a"))
+        lower = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("low")), "lower")
+        maps.append(lower)
+        new = (links.join(lower, F.col("a") == F.col("node")).select(F.col("low").alias("_a"), "b")
+               .join(lower, F.col("b") == F.col("node")).select("_a", F.col("low").alias("_b"))
+               .filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        old, links = links, materialize(new, "links")
+        discard(old)
+    if not maps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # compose from the last, smallest map back to the first
+    roots = maps[-1]
+    for lower in reversed(maps[:-1]):
+        later = roots.select(F.col("node").alias("_node"), F.col("low").alias("_low"))
+        roots = lower.join(later, F.col("low") == F.col("_node"), "left").select("node", F.coalesce("_low", "low").alias("low"))
+    found = materialize(roots.select("node", F.col("low").alias("root")), "roots")
+    for table in (links, *maps):
+        discard(table)
+    return found
 
 
 def components(pairs: DataFrame, nodes: DataFrame, u: str = "u", v: str = "v", node: str = "node_id") -> DataFrame:
-    """(node, component): the lowest node id reachable over the pairs.
-
-    Every round ends in a written table, so lineage stays short. Star rounds
-    shrink a chain of n nodes in about log n rounds; label passing would need n.
-    """
-    links = pairs.filter(F.col(u) != F.col(v)).select(
-        F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).distinct()
-    links = materialize(links, "links")
-    mark = _mark(links)
-    while True:
-        links = materialize(_small_star(_large_star(links)), "links")
-        new = _mark(links)
-        if new == mark:
-            break
-        mark = new
-    root = links.groupBy("a").agg(F.min("b").alias("component"))
-    return (nodes.select(node).join(root, F.col(node) == F.col("a"), "left")
-            .select(node, F.coalesce("component", node).alias("component")))
+    """(node, component): the lowest node id reachable over the pairs; a node without pairs is its own component."""
+    roots = linked_roots(pairs, u, v).select(F.col("node").alias("_node"), "root")
+    return nodes.select(node).join(roots, F.col(node) == F.col("_node"), "left").select(node, F.coalesce("root", node).alias("component"))

@@ -42,12 +42,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write a stage once and read it back.
+def materialize(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
+    """Write a stage once and read it back, split into folders by some columns if asked.
 
     Cuts the lineage, survives executor loss, and gives the optimizer true sizes.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stage written by materialize that nothing reads any more; of other data, nothing."""
+    spark = df.sparkSession
+    root = f"{checkpoint_root(spark).rstrip('/')}/tables/".split(":", 1)[-1].replace("//", "/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root.lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
