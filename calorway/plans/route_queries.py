@@ -16,7 +16,6 @@ from ..operators import weather as WX
 from . import derived_city as city
 from .oracle import compose
 from .registry import query, stage
-from .search_queries import corridor, live_trips
 from .thermal_queries import EXTRA, cost_of, hours_for, panel_sql, shaded, sun_sql
 
 KEYS = ["route_id"]
@@ -428,21 +427,6 @@ def best_daylight_departure(spark, sf):
     return R.best_daylight_departure(points, sunset, ["walk_id"]).select("walk_id", "best_depart_s", "wait_min", F.round("saving_c", 4).alias("saving_c"))
 
 
-@query("departure_curve")
-def departure_curve(spark, sf):
-    """Every trip searched at four departures of the next hour."""
-    def build():
-        starts = live_trips(spark, sf).select("trip_id", "origin", "destination", "depart_s")
-        swept = WX.departures(starts, 1).withColumn("at_s", F.col("depart_s"))
-        walks = hours_for(swept, spark, sf).withColumn("walk_id", F.col("trip_id") * 100 + F.col("depart_no"))
-        walks = walks.select("walk_id", "trip_id", "origin", "destination", "depart_s", "hour_s")
-        band = corridor(spark, sf)
-        front = S.pareto_walks(walks, band, cost_of(S.required_keys(walks, band), spark, sf))
-        return R.departure_curve(R.coolest_path(front, ["trip_id"]), ["trip_id"])
-    return stage(spark, sf, "departure_curve", build).select(
-        "trip_id", "depart_s", "point_no", "best_index", F.round("best_mean_c", 3).alias("best_mean_c"), F.round("best_duration_s", 3).alias("best_duration_s"))
-
-
 # ---- daylight ------------------------------------------------------------------
 
 DAYS = {"days": ((), """SELECT DISTINCT epoch(date_trunc('day', ts))::BIGINT + 18000 AS day_s FROM events"""),
