@@ -13,6 +13,9 @@ from .cells import box_cells, cell_join, point_cells
 from .components import components
 from .numbering import contiguous_ids, running_start
 
+#: spans are ordered to the millimetre, beyond which a projection's last bits would decide
+SPAN_DIGITS = 3
+
 
 def offset_for(width_ft) -> Column:
     """Centreline to sidewalk: half the street, capped, plus half a sidewalk; 6 m when unknown."""
@@ -24,8 +27,9 @@ def offset_for(width_ft) -> Column:
 def sidewalk_paths(streets: DataFrame) -> DataFrame:
     """Both sidewalks of every street of at least 3 m, or neither.
 
-    Needs seq, physical_id, street_name, borough, street_width_m and path. A side
-    whose offset folds over itself keeps the centreline; offset_fallback says so.
+    Needs seq, physical_id, street_name, borough, street_width_m and path. Where an offset
+    folds over itself, the segments that the bend has swallowed are trimmed away; only a side
+    of which nothing is left keeps the centreline, and offset_fallback says so.
     """
     path = F.col("path")
     usable = streets.withColumn("path", G.drop_repeats(path)).filter(F.size(path) >= 2)
@@ -37,7 +41,9 @@ def sidewalk_paths(streets: DataFrame) -> DataFrame:
     sides = usable.select("seq", "physical_id", "street_name", "borough", "path", G.normals(path).alias("_segs"), by.alias("_by"), side)
     sides = sides.withColumn("_by", F.when(F.col("side") == C.SIDE_LEFT, F.col("_by")).otherwise(-F.col("_by")))
     sides = sides.withColumn("_moved", G.offset_path(F.col("_segs"), F.col("_by")))
-    sides = sides.withColumn("offset_fallback", ~G.offset_is_sound(path, F.col("_moved")))
+    sound = G.offset_is_sound(path, F.col("_moved"))
+    sides = sides.withColumn("_moved", F.when(sound, F.col("_moved")).otherwise(G.trimmed_offset(F.col("_segs"), F.col("_by"))))
+    sides = sides.withColumn("offset_fallback", F.col("_moved").isNull())
     sides = sides.withColumn("path", F.when(F.col("offset_fallback"), path).otherwise(F.col("_moved")))
     sides = sides.withColumn("length_m", G.path_length(path)).withColumn("side", F.col("side").cast("byte"))
     sides = sides.withColumn("bearing_deg", G.path_bearing(path))
@@ -126,17 +132,18 @@ def select_crossings(candidates: DataFrame, keep_span_m: float = C.CROSSING_KEEP
     Long links are chosen by Boruvka rounds: every component takes its lowest
     outgoing link in the order (span, i, j). That order is strict, so the links
     are the ones that adding them one by one, shortest first, would choose.
+    Spans that agree to the millimetre count as equal (rank_m).
     """
-    candidates = materialize(candidates, "candidates")
+    candidates = materialize(candidates.withColumn("rank_m", F.round("span_m", SPAN_DIGITS)), "candidates")
     ends = candidates.select(F.col("i").alias("node_id")).union(candidates.select("j")).distinct()
     label = materialize(components(candidates.filter(F.col("span_m") <= keep_span_m), ends, "i", "j"), "label")
-    long = candidates.filter(F.col("span_m") > keep_span_m).select("span_m", "i", "j")
+    long = candidates.filter(F.col("span_m") > keep_span_m).select("rank_m", "i", "j")
     chosen = None
     while True:
         a = label.select(F.col("node_id").alias("i"), F.col("component").alias("ci"))
         b = label.select(F.col("node_id").alias("j"), F.col("component").alias("cj"))
-        long = materialize(long.select("span_m", "i", "j").join(a, "i").join(b, "j").filter("ci <> cj"), "long")
-        order = F.struct("span_m", "i", "j")
+        long = materialize(long.select("rank_m", "i", "j").join(a, "i").join(b, "j").filter("ci <> cj"), "long")
+        order = F.struct("rank_m", "i", "j")
         out = long.select("ci", "cj", order.alias("link")).union(long.select("cj", "ci", order))
         best = out.groupBy("ci").agg(F.min("link").alias("link"), F.min_by("cj", "link").alias("cj"))
         best = materialize(best, "best")
@@ -158,7 +165,7 @@ def add_crossings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Sidewalks plus chosen crossings, renumbered: sidewalks first, then crossings by (span, i, j)."""
     chosen = materialize(select_crossings(crossing_candidates(endpoint_rows(nodes, edges))), "chosen")
     start = edges.agg(F.count(F.lit(1)).alias("_n"))
-    numbered = contiguous_ids(chosen, "edge_id", ["span_m", "i", "j"]).crossJoin(F.broadcast(start))
+    numbered = contiguous_ids(chosen, "edge_id", ["rank_m", "i", "j"]).crossJoin(F.broadcast(start))
     cross = numbered.select(
         (F.col("edge_id") + F.col("_n")).alias("edge_id"), "u", "v",
         F.lit(C.KIND_CROSSING).cast("short").alias("kind"), F.lit(C.SIDE_NONE).cast("byte").alias("side"),

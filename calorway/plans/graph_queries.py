@@ -76,6 +76,42 @@ STREETS = {
 }
 
 
+# crossings: all short links, and those long ones whose sides no shorter link joins
+CROSSINGS = {
+    **STREETS,
+    "ranked": (("cands",), "SELECT *, row_number() OVER (ORDER BY round(span_m, 3), i, j) AS r FROM cands"),
+    "short_pairs": (("ranked",), "SELECT i AS a, j AS b FROM ranked WHERE span_m <= 15 UNION ALL SELECT j, i FROM ranked WHERE span_m <= 15"),
+    "reach": (("ranked", "short_pairs"), """
+        SELECT i AS a, i AS b FROM ranked UNION SELECT j, j FROM ranked
+        UNION SELECT reach.a, s.b FROM reach JOIN short_pairs s ON s.a = reach.b"""),
+    "blob": (("reach",), "SELECT a AS id, min(b) AS c FROM reach GROUP BY a"),
+    "long_links": (("ranked", "blob"), """
+        SELECT least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, min(r) AS r FROM ranked JOIN blob x ON x.id = i JOIN blob y ON y.id = j
+        WHERE span_m > 15 AND x.c <> y.c GROUP BY 1, 2"""),
+    "long_arcs": (("long_links",), "SELECT a, b, r FROM long_links UNION ALL SELECT b, a, r FROM long_links"),
+    # a long link stays unless shorter ones already join its two sides
+    "flood": (("long_links", "long_arcs"), """
+        SELECT r AS e, a AS here, b AS goal FROM long_links UNION SELECT f.e, t.b, f.goal FROM flood f JOIN long_arcs t ON t.a = f.here AND t.r < f.e"""),
+    "crossings": (("ranked", "long_links", "flood", "end_rows", "g_edges"), """
+        SELECT n + row_number() OVER (ORDER BY r) - 1 AS edge_id, c.u, c.v, 1 AS kind, -1 AS side, a.street_name || ' / ' || b.street_name AS street_name, -1 AS physical_id,
+               c.span_m AS len, (degrees(atan2(b.x_m - a.x_m, b.y_m - a.y_m)) + 360) % 360 AS bearing, a.x_m AS x0, a.y_m AS y0, b.x_m AS x1, b.y_m AS y1, b.x_m AS x2, b.y_m AS y2
+        FROM ranked c JOIN end_rows a ON a.row_id = c.i JOIN end_rows b ON b.row_id = c.j, (SELECT count(*) AS n FROM g_edges)
+        WHERE c.span_m <= 15 OR r IN (SELECT r FROM long_links WHERE r NOT IN (SELECT e FROM flood WHERE here = goal))"""),
+    "full_edges": (("g_edges", "crossings"), """
+        SELECT *, sum(c) OVER (ORDER BY edge_id) - c AS sample_start FROM (SELECT *, greatest(2, ceil(len::FLOAT::DOUBLE / 10) + 1)::BIGINT AS c FROM (
+          SELECT edge_id, u, v, 0 AS kind, side, street_name, physical_id, len, (degrees(atan2(x2 - x0, y2 - y0)) + 360) % 360 AS bearing, x0, y0, x1, y1, x2, y2 FROM g_edges
+          UNION ALL SELECT edge_id, u, v, kind, side, street_name, physical_id, len, bearing, x0, y0, x1, y1, x2, y2 FROM crossings))"""),
+    "full_samples": (("full_edges",), """
+        SELECT (sample_start + i)::BIGINT AS sample_id, edge_id, t, CASE WHEN kind = 1 THEN x0 + (x1 - x0) * t WHEN t <= 0.5 THEN x0 + (x1 - x0) * 2 * t ELSE x1 + (x2 - x1) * (2 * t - 1) END AS x_m,
+               CASE WHEN kind = 1 THEN y0 + (y1 - y0) * t WHEN t <= 0.5 THEN y0 + (y1 - y0) * 2 * t ELSE y1 + (y2 - y1) * (2 * t - 1) END AS y_m
+        FROM (SELECT *, i / (c - 1)::DOUBLE AS t FROM (SELECT *, unnest(range(0, c)) AS i FROM full_edges))"""),
+}
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def built_graph(spark, sf):
     built = {}
 
@@ -140,16 +176,19 @@ def full_graph(spark, sf):
     return stage(spark, sf, "full_graph", lambda: GR.add_crossings(*built_graph(spark, sf)))
 
 
-@query("select_crossings")
+@query("select_crossings", recursive(compose("""
+    SELECT edge_id::BIGINT AS edge_id, u::BIGINT AS u, v::BIGINT AS v, round(len, 5) AS span_m FROM crossings""", "crossings", extra=CROSSINGS)))
 def select_crossings(spark, sf):
     out = full_graph(spark, sf).filter("kind = 1")
     return out.select("edge_id", "u", "v", F.round("length_m", 5).alias("span_m"))
 
 
-@query("append_crossings")
+@query("append_crossings", recursive(compose("""
+    SELECT edge_id::BIGINT AS edge_id, kind::BIGINT AS kind, u::BIGINT AS u, v::BIGINT AS v, street_name, physical_id::BIGINT AS physical_id, round(len, 4) AS length_m, round(bearing, 3) AS bearing_deg
+    FROM full_edges""", "full_edges", extra=CROSSINGS)))
 def append_crossings(spark, sf):
-    return full_graph(spark, sf).groupBy(F.col("kind").cast("long").alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("first_id"), F.max("edge_id").alias("last_id"))
+    return full_graph(spark, sf).select("edge_id", F.col("kind").cast("long").alias("kind"), "u", "v", "street_name", "physical_id",
+                                        F.round("length_m", 4).alias("length_m"), F.round("bearing_deg", 3).alias("bearing_deg"))
 
 
 @query("sample_points", compose("""

@@ -154,16 +154,21 @@ def park_label(*names: str) -> Column:
 
 
 def read_parks(spark: SparkSession, paths, scope: str, collection: bool = False) -> DataFrame:
-    """(park_name, part, rings) in scope; empty when the feed is absent."""
+    """(park_id, park_name, part, rings) in scope, one row per polygon; empty when the feed is absent.
+
+    park_id numbers the features by name and outline, so the parts of one park share it.
+    """
     _, box = C.SCOPES[scope]
     try:
         rows = read_features(spark, paths, PARK_PROPERTIES, collection)
     except Exception as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        return spark.createDataFrame([], "park_name string, part int, rings array<array<struct<x:double,y:double>>>")
-    parts = polygon_parts(filter_parks(rows)).filter(path_meets_box(F.col("rings")[0], *box))
-    return parts.select(park_label(*C.PARK_NAME_COLUMNS).alias("park_name"), "part", F.transform("rings", project_path).alias("rings"))
+        return spark.createDataFrame([], "park_id long, park_name string, part int, rings array<array<struct<x:double,y:double>>>")
+    named = filter_parks(rows).withColumn("park_name", park_label(*C.PARK_NAME_COLUMNS)).drop(*PARK_PROPERTIES)
+    numbered = contiguous_ids(named, "park_id", ["park_name", "coordinates"])
+    parts = polygon_parts(numbered).filter(path_meets_box(F.col("rings")[0], *box))
+    return parts.select("park_id", "park_name", "part", F.transform("rings", project_path).alias("rings"))
 
 
 def read_weather_hours(spark: SparkSession, paths, whole_file: bool = False) -> DataFrame:

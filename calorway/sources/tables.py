@@ -26,9 +26,9 @@ def conform(name: str, df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CITY_TABLES[name].fields])
 
 
-def read_city_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A city table, refused with all its problems when it breaks the contract."""
-    df = spark.read.parquet(f"{root}/{name}")
+def read_city_table(spark: SparkSession, root: str, name: str, folder: str | None = None) -> DataFrame:
+    """A city table (at its name, or at another folder of the root), refused with all its problems when it breaks the contract."""
+    df = spark.read.parquet(f"{root}/{folder or name}")
     # at most one row per contract column
     problems = [r["problem"] for r in schema_problems(name, df).collect()]
     if problems:
