@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -17,9 +19,10 @@ from ..operators.exposure import shaded_samples
 from ..operators.horizon import canopy_horizon
 from ..session import checkpoint_root
 from ..sources import feeds
+from ..streaming import plantings as ST
 from . import derived_city as city
 from .graph_queries import STREETS, streets
-from .oracle import compose
+from .oracle import CTES, compose
 from .registry import query, stage
 from .shade_queries import horizon_table
 from .thermal_queries import sun_sql
@@ -140,15 +143,18 @@ def read_buildings(spark, sf):
     SELECT species, count(*)::BIGINT AS n, round(sum(least(raw_dbh * 2, 60) * 2.54), 3) AS dbh_sum, round(min(x_m), 2) AS x_min, round(max(y_m), 2) AS y_max
     FROM tree_ll WHERE tree_id % 9 <> 0 AND tree_id % 5 <> 4 AND lon BETWEEN -74.05 AND -73.833 AND lat BETWEEN 40.57 AND 40.883 GROUP BY 1""", "tree_ll", extra=FEEDS))
 def read_trees(spark, sf):
+    out = feeds.read_trees(spark, tree_feed(spark, sf), "manhattan_brooklyn")
+    return out.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dbh_cm"), 3).alias("dbh_sum"),
+                                      F.round(F.min("x_m"), 2).alias("x_min"), F.round(F.max("y_m"), 2).alias("y_max"))
+
+
+def tree_feed(spark, sf):
     t = city.tree_points(spark, sf)
     lon, lat = to_degrees(F.col("x_m"), F.col("y_m"))
     props = F.struct(lon.cast("string").alias("longitude"), lat.cast("string").alias("latitude"),
                      F.when(F.col("tree_id") % 5 == 4, "4").when(F.col("tree_id") % 2 == 0, "1").otherwise("3").alias("borocode"),
                      F.when(F.col("tree_id") % 9 == 0, "Dead").otherwise("Alive").alias("status"), (F.col("dbh_cm") * 2).cast("string").alias("tree_dbh"), F.col("species").alias("spc_latin"))
-    path = feed_path(spark, sf, "trees", t.select(F.lit("Feature").alias("type"), props.alias("properties")))
-    out = feeds.read_trees(spark, path, "manhattan_brooklyn")
-    return out.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dbh_cm"), 3).alias("dbh_sum"),
-                                      F.round(F.min("x_m"), 2).alias("x_min"), F.round(F.max("y_m"), 2).alias("y_max"))
+    return feed_path(spark, sf, "trees", t.select(F.lit("Feature").alias("type"), props.alias("properties")))
 
 
 @query("read_amenities", compose("""
@@ -156,15 +162,17 @@ def read_trees(spark, sf):
     WHERE kind < 2 AND lon > -74.05 AND lon < -73.833 AND lat > 40.57 AND lat < 40.883""", "amenities_ll"))
 def read_amenities(spark, sf):
     """Fountains as features, cooling sites as bare objects with lon and lat called x and y."""
+    fountains, cooling = place_feeds(spark, sf)
+    places = feeds.read_places(spark, fountains, 0).unionByName(feeds.read_places(spark, cooling, 1))
+    return feeds.in_scope(places, "manhattan_brooklyn").select(F.col("kind").cast("long").alias("kind"), "name", F.round("x_m", 2).alias("x_m"), F.round("y_m", 2).alias("y_m"))
+
+
+def place_feeds(spark, sf):
     a = city.amenities(spark, sf)
     fountains = a.filter("kind = 0").select(F.struct(F.col("name").alias("propertyna")).alias("properties"),
                                             F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"))
     cooling = a.filter("kind = 1").select(F.col("name").alias("site_name"), F.col("lon").cast("string").alias("x"), F.col("lat").cast("string").alias("y"))
-    places = None
-    for kind, rows, name in ((0, fountains, "fountains"), (1, cooling, "cooling")):
-        part = feeds.read_places(spark, feed_path(spark, sf, name, rows), kind)
-        places = part if places is None else places.unionByName(part)
-    return feeds.in_scope(places, "manhattan_brooklyn").select(F.col("kind").cast("long").alias("kind"), "name", F.round("x_m", 2).alias("x_m"), F.round("y_m", 2).alias("y_m"))
+    return feed_path(spark, sf, "fountains", fountains), feed_path(spark, sf, "cooling", cooling)
 
 
 @query("filter_parks", """
@@ -390,15 +398,15 @@ def dominant_species(spark, sf):
 PLANT = {
     "planted": (("corners",), """
         SELECT c_custkey AS request_id, c_custkey, (300000 + 80 * col + 13)::DOUBLE AS px, (64000 + 80 * row + 11)::DOUBLE AS py,
-               greatest(0.8, 0.55 * pow(25.0, 0.70)) AS r FROM corners JOIN customer ON c_custkey = k WHERE c_acctbal < -500"""),
+               greatest(0.8, 0.55 * pow(25.0, 0.70)) AS r FROM corners JOIN customer ON c_custkey = k"""),
     "hit": (("samples", "planted"), """
         SELECT DISTINCT sample_id FROM samples JOIN planted ON abs(x_m - px) <= 410 AND abs(y_m - py) <= 410 AND sqrt(pow(x_m - px, 2) + pow(y_m - py, 2)) <= 400 + r""")}
 
 
 def planted(spark, sf):
-    """Customers deep in debt get a tree at their corner."""
-    c = city.corners(spark, sf).join(city.read(spark, sf, "customer").filter("c_acctbal < -500").select("c_custkey", "c_nationkey"), F.col("k") == F.col("c_custkey"))
-    rows = c.select(F.col("c_custkey").cast("long").alias("request_id"), (F.col("k") + 10_000_000).alias("tree_id"), (F.lit(city.X0 + 13) + F.col("col") * 80).cast("double").alias("x_m"),
+    """Every customer gets a tree at the corner."""
+    c = city.corners(spark, sf)
+    rows = c.select(F.col("k").cast("long").alias("request_id"), (F.col("k") + 10_000_000).alias("tree_id"), (F.lit(city.X0 + 13) + F.col("col") * 80).cast("double").alias("x_m"),
                     (F.lit(city.Y0 + 11) + F.col("row") * 80).cast("double").alias("y_m"), F.lit("Tilia cordata").alias("species"), F.lit(25.0).alias("dbh_cm"))
     return PL.plant_crowns(rows)
 
@@ -413,13 +421,76 @@ def plant_append(spark, sf):
     return PL.plant_append(city.trees(spark, sf), planted(spark, sf), 1).groupBy(F.col("scene_version").cast("long").alias("scene_version")).agg(F.count(F.lit(1)).alias("n_trees"))
 
 
+# ten customers make one request; every 37th tree is too thick, every 101st lies far outside
+ASKED = {
+    "asked": (("corners", "lcc"), ll_sql("""(SELECT k AS tree_no, k // 10 AS request_id, CASE WHEN k % 37 = 0 THEN 130.0 ELSE 25.0 END AS dbh_cm,
+               (300000 + 80 * col + 13 + CASE WHEN k % 101 = 0 THEN 60000 ELSE 0 END)::DOUBLE AS x_m, (64000 + 80 * row + 11)::DOUBLE AS y_m FROM corners)""")),
+    "judged": (("asked", "nodes_ll"), """
+        SELECT *, CASE WHEN NOT (lon BETWEEN w AND e AND lat BETWEEN s AND n) THEN 'outside the plant area' WHEN NOT dbh_cm BETWEEN 1 AND 100 THEN 'diameter outside 1..100 cm' END AS own
+        FROM asked, (SELECT min(lon) - 0.01 AS w, max(lon) + 0.01 AS e, min(lat) - 0.01 AS s, max(lat) + 0.01 AS n FROM nodes_ll)""")}
+
+
+def asked(spark, sf):
+    """Requests of ten customers each, with some trees that cannot be planted."""
+    k = F.col("k")
+    rows = city.corners(spark, sf).select(
+        k.cast("long").alias("tree_no"), F.floor(k / 10).cast("long").alias("request_id"), F.lit("Tilia cordata").alias("species"), F.when(k % 37 == 0, 130.0).otherwise(25.0).alias("dbh_cm"),
+        (F.lit(city.X0 + 13) + F.col("col") * 80 + F.when(k % 101 == 0, 60000).otherwise(0)).cast("double").alias("x_m"), (F.lit(city.Y0 + 11) + F.col("row") * 80).cast("double").alias("y_m"))
+    lon, lat = to_degrees(F.col("x_m"), F.col("y_m"))
+    return rows.withColumns({"lon": lon, "lat": lat})
+
+
+@query("judged_plantings", compose("""
+    SELECT tree_no::BIGINT AS tree_no, request_id::BIGINT AS request_id, coalesce(own, 'refused with its request: ' || min(own) OVER (PARTITION BY request_id)) AS reject FROM judged""", "judged", extra=ASKED))
+def judged_plantings(spark, sf):
+    return PL.judged_plantings(asked(spark, sf), city.nodes(spark, sf)).select("tree_no", "request_id", "reject")
+
+
 @query("accepted_plantings", compose("""
-    SELECT request_id::BIGINT AS request_id, count(*)::BIGINT AS n FROM planted GROUP BY 1""", "planted", extra=PLANT))
+    SELECT request_id::BIGINT AS request_id, count(*)::BIGINT AS n FROM judged GROUP BY 1 HAVING count(own) = 0""", "judged", extra=ASKED))
 def accepted_plantings(spark, sf):
-    rows = planted(spark, sf)
-    lon, lat = to_degrees(F.col("x_m"), F.col("y_m"))
-    good = PL.accepted_plantings(rows.withColumns({"lon": lon, "lat": lat}), city.nodes(spark, sf))
-    return good.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    return PL.accepted_plantings(asked(spark, sf), city.nodes(spark, sf)).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scene_with(crowns: str, *needs: str) -> dict:
+    """The canopy rules over the trees and the crowns of a CTE; names end in 2."""
+    chain = {}
+    for name in ("tree_cells", "crown_near", "crown_hits", "canopy_bins", "canopy"):
+        deps, sql = CTES[name]
+        for old in ("trees", "tree_cells", "crown_near", "crown_hits", "canopy_bins"):
+            deps = tuple(f"{d}2" if d == old else d for d in deps)
+            sql = sql.replace(f"FROM {old} ", f"FROM {old}2 ").replace(f"JOIN {old} ", f"JOIN {old}2 ").replace(f"FROM {old})", f"FROM {old}2)").replace(f"FROM {old}\n", f"FROM {old}2\n")
+        chain[f"{name}2"] = (deps, sql)
+    top = "greatest(3.0, 1.35 * pow(25.0, 0.62))"
+    chain["trees2"] = (("trees", *needs), f"""
+        SELECT tree_id, x_m, y_m, species, crown_radius_m, crown_base_m, crown_top_m, tau FROM trees
+        UNION ALL SELECT -1 - k, px, py, 'Tilia cordata', greatest(0.8, 0.55 * pow(25.0, 0.70)), greatest(2.0, {top} * 0.35), greatest({top}, greatest(2.0, {top} * 0.35) + 1.0), 0.08
+        FROM ({crowns})""")
+    return chain
+
+
+MOVED = """SELECT n.sample_id::BIGINT AS sample_id, array_to_string(n.tau_q, ',') AS tau_q FROM canopy2 n JOIN canopy o ON o.sample_id = n.sample_id
+    WHERE n.canopy <> o.canopy OR n.tau_q <> o.tau_q"""
+REPLANTED = {**PLANT, **scene_with("SELECT c_custkey AS k, px, py FROM planted", "planted")}
+STREAMED = {**ASKED, **scene_with("SELECT tree_no AS k, x_m AS px, y_m AS py FROM judged WHERE request_id NOT IN (SELECT request_id FROM judged WHERE own IS NOT NULL)", "judged")}
+
+
+def moved_from(before, after):
+    now = after.select("sample_id", F.col("canopy").alias("c"), F.col("tau_q").alias("t"))
+    both = before.join(now, "sample_id").filter((F.col("canopy") != F.col("c")) | (F.col("tau_q") != F.col("t")))
+    return both.select("sample_id", F.array_join(F.col("t").cast("array<string>"), ",").alias("tau_q"))
+
+
+@query("plantings_stream", compose(MOVED, "canopy", "canopy2", extra=STREAMED))
+def plantings_stream(spark, sf):
+    """Requests as files in four micro-batches: the samples whose canopy arrays the stream has changed."""
+    names = [f.split()[0] for f in ST.REQUEST_SCHEMA.split(", ")]
+    path = feed_path(spark, sf, "plantings", asked(spark, sf).select(*names).repartition(4, "request_id"))
+    out = f"{checkpoint_root(spark)}/plantings/{uuid.uuid4().hex}"
+    requests = ST.read_requests(spark, path, files_per_batch=1)
+    before = horizon_table(spark, sf)
+    ST.run_plantings(spark, requests, city.nodes(spark, sf), city.samples(spark, sf), city.trees(spark, sf), out, f"{out}/checkpoint").awaitTermination()
+    return moved_from(before, ST.newest_horizon(before, out))
 
 
 def replanted(spark, sf):
@@ -427,13 +498,10 @@ def replanted(spark, sf):
         city.samples(spark, sf), horizon_table(spark, sf), city.trees(spark, sf), planted(spark, sf)))
 
 
-@query("replanted_horizon")
+@query("replanted_horizon", compose(MOVED, "canopy", "canopy2", extra=REPLANTED))
 def replanted_horizon(spark, sf):
     """Samples whose canopy arrays the plantings changed."""
-    now = replanted(spark, sf).select("sample_id", F.col("canopy").alias("c"), F.col("tau_q").alias("t"))
-    both = horizon_table(spark, sf).join(now, "sample_id")
-    moved = both.filter((F.col("canopy") != F.col("c")) | (F.col("tau_q") != F.col("t")))
-    return moved.select("sample_id", F.array_join(F.col("t").cast("array<string>"), ",").alias("tau_q"))
+    return moved_from(horizon_table(spark, sf), replanted(spark, sf))
 
 
 @query("planting_impact")
