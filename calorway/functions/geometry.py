@@ -127,6 +127,46 @@ def offset_is_sound(path: Column, offset: Column) -> Column:
     return same & F.coalesce(along, F.lit(False))
 
 
+def trimmed_offset(segs: Column, offset_m: Column) -> Column:
+    """Parallel of the path whose normals() are given, without the segments that a bend has swallowed.
+
+    Every segment moves aside on its own line, and neighbours meet where their lines cross. A
+    segment that then runs backwards is dropped and its neighbours meet each other instead, until
+    none runs backwards. Lines that do not cross, and outer corners past MITRE_LIMIT, keep both
+    moved ends. Null when no segment is left.
+    """
+    def moved(s):
+        dx, dy = s["nx"] * offset_m, s["ny"] * offset_m
+        return F.named_struct(F.lit("a"), point(s["a"]["x"] + dx, s["a"]["y"] + dy), F.lit("b"), point(s["b"]["x"] + dx, s["b"]["y"] + dy),
+                              F.lit("ux"), s["ny"], F.lit("uy"), -s["nx"])
+
+    def joint(s, t):
+        """Where the lines of two neighbours cross; null when they keep their own ends."""
+        cross, dot = s["ux"] * t["uy"] - s["uy"] * t["ux"], s["ux"] * t["ux"] + s["uy"] * t["uy"]
+        along = ((t["a"]["x"] - s["a"]["x"]) * t["uy"] - (t["a"]["y"] - s["a"]["y"]) * t["ux"]) / F.when(F.abs(cross) > 1e-9, cross)
+        outward = along > (s["b"]["x"] - s["a"]["x"]) * s["ux"] + (s["b"]["y"] - s["a"]["y"]) * s["uy"]
+        sharp = outward & ((dot + 1.0) * (MITRE_LIMIT * MITRE_LIMIT) < 2.0)
+        return F.when(along.isNotNull() & ~sharp, point(s["a"]["x"] + s["ux"] * along, s["a"]["y"] + s["uy"] * along))
+
+    def ends(lines):
+        """Every line with its start and end after meeting its neighbours."""
+        def one(s, i):
+            before, after = F.get(lines, i - 1), F.get(lines, i + 1)
+            return F.named_struct(F.lit("s"), s, F.lit("p"), F.coalesce(F.when(before.isNotNull(), joint(before, s)), s["a"]),
+                                  F.lit("q"), F.coalesce(F.when(after.isNotNull(), joint(s, after)), s["b"]))
+        return F.transform(lines, one)
+
+    def forward(e):
+        return (e["q"]["x"] - e["p"]["x"]) * e["s"]["ux"] + (e["q"]["y"] - e["p"]["y"]) * e["s"]["uy"] > 1e-9
+
+    # a round drops one segment at least, or the path has come to rest
+    rounds = F.sequence(F.lit(1), F.size(segs))
+    kept = F.aggregate(rounds, F.transform(segs, moved), lambda lines, _: F.transform(F.filter(ends(lines), forward), lambda e: e["s"]))
+    # one element, so that the rest is computed once however often it is read
+    return F.transform(F.array(kept), lambda lines: F.when(
+        F.size(lines) > 0, drop_repeats(F.flatten(F.transform(ends(lines), lambda e: F.array(e["p"], e["q"]))))))[0]
+
+
 def ring_area(ring: Column) -> Column:
     """Signed area, positive when counter-clockwise."""
     return F.aggregate(

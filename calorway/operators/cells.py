@@ -30,6 +30,63 @@ def box_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, siz
     return df.withColumn("cell_x", columns).withColumn("cell_y", rows)
 
 
+#: cell sizes double from level to level; 2^40 half-metre cells span more than the earth
+MAX_LEVEL = 40
+
+
+def box_level(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
+    """Level whose cells, size * 2^level wide, are no smaller than the box, so that it meets at most four of them."""
+    wide = F.greatest(x1 - x0, y1 - y0, F.lit(float(size)))
+    return F.least(F.ceil(F.log2(wide / F.lit(float(size)))), F.lit(MAX_LEVEL)).cast("int")
+
+
+def _level_cell(value: Column, size: float, level: Column) -> Column:
+    return F.floor(value / (F.lit(float(size)) * F.pow(F.lit(2.0), level))).cast("long")
+
+
+def _keyed(cell_x: Column, level: Column) -> Column:
+    """Cells of different levels never share a key: the level sits in the low six bits."""
+    return cell_x * 64 + level
+
+
+def cover_cells(boxes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
+    """One row per cell that a box meets at its own level: four at most, however wide the box; adds `level`."""
+    rows = boxes.withColumn("level", box_level(x0, y0, x1, y1, size))
+    level = F.col("level")
+    rows = rows.withColumn("cell_x", F.explode(F.sequence(_level_cell(x0, size, level), _level_cell(x1, size, level))))
+    rows = rows.withColumn("cell_y", F.explode(F.sequence(_level_cell(y0, size, level), _level_cell(y1, size, level))))
+    return rows.withColumn("cell_x", _keyed(F.col("cell_x"), level))
+
+
+def levels_of(covered: DataFrame) -> list[int]:
+    """Levels that some box uses, at most MAX_LEVEL + 1 numbers."""
+    return sorted(r[0] for r in covered.select("level").distinct().collect() if r[0] is not None)
+
+
+def point_levels(points: DataFrame, x: str, y: str, size: float, levels: list[int]) -> DataFrame:
+    """One row per point and level, with the point's cell there."""
+    if not levels:
+        return points.withColumns({"level": F.lit(0), "cell_x": F.lit(0).cast("long"), "cell_y": F.lit(0).cast("long")}).filter(F.lit(False))
+    rows = points.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    level = F.col("level")
+    return rows.withColumns({"cell_x": _keyed(_level_cell(F.col(x), size, level), level), "cell_y": _level_cell(F.col(y), size, level)})
+
+
+def box_levels(boxes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float, levels: list[int]) -> DataFrame:
+    """One row per box, level and cell that the box meets there; for boxes no wider than a few of the finest cells."""
+    rows = boxes.withColumn("level", F.explode(F.array(*map(F.lit, levels))) if levels else F.lit(0))
+    rows = rows if levels else rows.filter(F.lit(False))
+    level = F.col("level")
+    rows = rows.withColumn("cell_x", F.explode(F.sequence(_level_cell(x0, size, level), _level_cell(x1, size, level))))
+    rows = rows.withColumn("cell_y", F.explode(F.sequence(_level_cell(y0, size, level), _level_cell(y1, size, level))))
+    return rows.withColumn("cell_x", _keyed(F.col("cell_x"), level))
+
+
+def cell_of(x: Column, y: Column, size: float, level: Column) -> tuple[Column, Column]:
+    """Key columns of the cell that a place has at a level."""
+    return _keyed(_level_cell(x, size, level), level), _level_cell(y, size, level)
+
+
 def hot_cells(left: DataFrame, right: DataFrame, pairs_per_task: int) -> DataFrame:
     """Cells that would make one task examine too many pairs, with their salt count.
 

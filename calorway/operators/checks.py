@@ -9,6 +9,7 @@ from .. import constants as C
 from ..schemas import CITY_TABLES
 from .components import components
 from .graph import street_spans
+from .numbering import order_statistics
 
 MIN_LARGEST_COMPONENT = 0.95
 MAX_GLOBAL_TAU_SHARE = 0.15
@@ -167,9 +168,7 @@ def offsets_share(edges: DataFrame) -> DataFrame:
 
 
 def height_stats(buildings: DataFrame) -> DataFrame:
-    h = F.col("height_m").cast("double")
-    row = buildings.agg(F.count(h).alias("n"), F.percentile(h, F.lit(0.5)).alias("p50"),
-                        F.percentile(h, F.lit(0.99)).alias("p99"), F.max(h).alias("top"))
+    row = order_statistics(buildings, "height_m", {"p50": 0.5, "p99": 0.99, "top": 1.0})
     return _check(row, "building_heights", "soft", F.col("top") > MIN_TALLEST_M, F.when(F.col("n") == 0, "no buildings").otherwise(
         F.format_string("n=%d p50=%.1f m p99=%.2f m max=%.1f m", "n", "p50", "p99", "top")))
 

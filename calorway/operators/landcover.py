@@ -33,17 +33,30 @@ def landcover_lookup(points: DataFrame, pixels: DataFrame, x0: float, y1: float,
 
 
 def canopy_mask(scope: DataFrame, pixels: DataFrame, x0: float, y1: float, resolution: float, out_resolution: float = 1.0) -> DataFrame:
-    """(row, col) of canopy pixels over scopes (mx0, my0, mx1, my1), nearest source pixel to each centre."""
-    width = F.greatest(F.lit(1), F.floor((F.col("mx1") - F.col("mx0")) / out_resolution).cast("int"))
-    height = F.greatest(F.lit(1), F.floor((F.col("my1") - F.col("my0")) / out_resolution).cast("int"))
-    grid = scope.select("*", F.explode(F.sequence(F.lit(0), height - 1)).alias("out_row"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), width - 1)).alias("out_col"))
+    """(row, col) of canopy pixels over scopes (mx0, my0, mx1, my1), nearest source pixel to each centre.
+
+    Every canopy pixel names the target pixels whose centres it holds, so the work follows
+    the canopy and is spread as the pixels are; no grid is made from a scope.
+    """
+    width = F.greatest(F.lit(1), F.floor((F.col("mx1") - F.col("mx0")) / out_resolution).cast("long"))
+    height = F.greatest(F.lit(1), F.floor((F.col("my1") - F.col("my0")) / out_resolution).cast("long"))
+    west, north = F.lit(x0) + F.col("col") * resolution, F.lit(y1) - F.col("row") * resolution
+    # a scope is one row per build
+    near = pixels.filter(F.col("class") == CANOPY_CLASS).select("row", "col").join(F.broadcast(scope), (
+        (west <= F.col("mx1") + out_resolution) & (west + resolution >= F.col("mx0") - out_resolution)
+        & (north >= F.col("my0") - out_resolution) & (north - resolution <= F.col("my1") + out_resolution)))
+
+    def span(low: Column, high: Column, size: Column) -> Column:
+        # one more on either side than the pixel is wide; centres are tested below
+        first, last = F.greatest(F.floor(low) - 1, F.lit(0)), F.least(F.ceil(high) + 1, size - 1)
+        return F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))
+
+    rows = near.withColumn("out_col", F.explode(span((west - F.col("mx0")) / out_resolution, (west + resolution - F.col("mx0")) / out_resolution, width)))
+    rows = rows.withColumn("out_row", F.explode(span((F.col("my1") - north) / out_resolution, (F.col("my1") - north + resolution) / out_resolution, height)))
     cx = F.col("mx0") + (F.col("out_col") + 0.5) * out_resolution
     cy = F.col("my1") - (F.col("out_row") + 0.5) * out_resolution
     row, col = pixel_keys(cx, cy, x0, y1, resolution)
-    canopy = pixels.filter(F.col("class") == CANOPY_CLASS).select("row", "col")
-    return grid.withColumns({"row": row, "col": col}).join(canopy, ["row", "col"], "left_semi").select(
-        F.col("out_row").cast("long").alias("row"), F.col("out_col").cast("long").alias("col"))
+    return rows.filter((row == F.col("row")) & (col == F.col("col"))).select(F.col("out_row").alias("row"), F.col("out_col").alias("col"))
 
 
 def crown_pixels(trees: DataFrame, x0: float, y1: float, resolution: float, rows: int | None = None, cols: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.projection import to_degrees
 from ..schemas import PATH
 from ..session import materialize
-from .cells import _cell, box_cells, cell_join
+from .cells import box_levels, cell_join, cell_of, cover_cells, levels_of
 
 TILE_LON_DEG, TILE_LAT_DEG, TILE_LEVELS = 0.0075, 0.005, 4
 TILE_LIMIT = 450
@@ -61,14 +61,16 @@ def place_filter(places: DataFrame, queries: DataFrame, limit: int = 5) -> DataF
 def buildings_in_view(footprints: DataFrame, boxes: DataFrame, cell_m: float = 500.0) -> DataFrame:
     """(box_id, building_id, height_m) whose bounds meet a box.
 
-    footprints: building_id, height_m, bx0..by1; boxes: box_id, x0..y1. Both sides
-    cover several cells, so a pair counts only in the cell of its lower corner.
+    footprints: building_id, height_m, bx0..by1; boxes: box_id, x0..y1. A view is covered
+    at the level of its own size, so a view of the whole world makes four rows. Both sides
+    may meet several cells, so a pair counts only in the cell of its lower corner.
     """
+    right = cover_cells(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell_m)
     left = footprints.select("building_id", "height_m", "bx0", "by0", "bx1", "by1")
-    left = box_cells(left, F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), cell_m)
-    right = box_cells(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell_m)
+    left = box_levels(left, F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), cell_m, levels_of(right)).drop("level")
+    corner_x, corner_y = cell_of(F.greatest("bx0", "x0"), F.greatest("by0", "y0"), cell_m, F.col("level"))
     meets = ((F.col("bx0") <= F.col("x1")) & (F.col("bx1") >= F.col("x0")) & (F.col("by0") <= F.col("y1")) & (F.col("by1") >= F.col("y0"))
-             & (F.col("cell_x") == _cell(F.greatest("bx0", "x0"), cell_m)) & (F.col("cell_y") == _cell(F.greatest("by0", "y0"), cell_m)))
+             & (F.col("cell_x") == corner_x) & (F.col("cell_y") == corner_y))
     return cell_join(left, right, "building_id", meets).select("box_id", "building_id", "height_m")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,3 +39,25 @@ def contiguous_ids(df: DataFrame, name: str, order_by: list[str]) -> DataFrame:
     """0..n-1 in the order given, which should be unique."""
     numbered = running_start(df.drop(name).withColumn("_one", F.lit(1)), "_one", order_by, name)
     return numbered.drop("_one").select(name, *[c for c in df.columns if c != name])
+
+
+def order_statistics(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: n, and for every name the value at that share of the sorted rows, between ranks by linear interpolation.
+
+    Rows are counted per value, the counts are summed up in two levels, and each wanted rank is picked where its
+    stretch lies; no task holds the column. Nulls are left out; without rows n is 0 and the values are null.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_start(counts, "_c", ["_v"], "_start")
+    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
+    placed = ranked.crossJoin(F.broadcast(total))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c")), F.col("_v")))
+
+    picks = []
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * F.lit(float(share))
+        picks += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    found = placed.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *picks)
+    return found.select("n", *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n) for n in shares])
