@@ -15,6 +15,8 @@ import numpy as np
 
 #: units handled at a time; positions take the low 20 bits of a sort key
 BLOCK = 1 << 20
+#: bytes handled at a time, whatever the units; a block holds one window of units at least
+BLOCK_BYTES = 1 << 20
 LOW = np.uint64(BLOCK - 1)
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -31,7 +33,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def gram_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[first:last]; equal bytes have equal hashes wherever they stand."""
-    up, down, letters = _powers(1 << max(20, int(len(data)).bit_length()))
+    up, down, letters = _powers(1 << max(20, int(len(data) - 1).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.empty(len(data) + 1, np.uint64)
         sums[0] = 0
@@ -80,28 +82,29 @@ def anchored_runs(data: np.ndarray, first: np.ndarray, last: np.ndarray, owner:
 
 
 def packed_blocks(texts: list[bytes], units, window: int) -> Iterator[tuple]:
-    """(data, first, last, owner, base) blocks of at most BLOCK units.
+    """(data, first, last, owner, base) blocks of fewer than BLOCK units and about BLOCK_BYTES bytes.
 
     `units(text)` gives unit starts and ends. Short texts are laid end to end; a longer
     one is cut into blocks that overlap by window - 1 units. base[i] is the number of
     units of text i before its part of the block.
     """
-    parts, held = [], 0
+    parts, held, held_bytes = [], 0, 0
     for k, text in enumerate(texts):
         first, last = units(text)
-        if len(first) < window:
-            continue
-        step = BLOCK - window
-        for at in range(0, max(1, len(first) - window + 1), step):
-            a, b = first[at:at + BLOCK - 1], last[at:at + BLOCK - 1]
+        at = 0
+        while at + window <= len(first):
+            fit = int(np.searchsorted(last, first[at] + BLOCK_BYTES, side="right"))
+            stop = min(at + BLOCK - 1, len(first), max(fit, at + window))
+            a, b = first[at:stop], last[at:stop]
             size = int(b[-1] - a[0])
-            if parts and (held + len(a) >= BLOCK):
+            if parts and (held + len(a) >= BLOCK or held_bytes + size > BLOCK_BYTES):
                 yield _join(parts)
-                parts, held = [], 0
+                parts, held, held_bytes = [], 0, 0
             parts.append((k, at, text[int(a[0]):int(b[-1])], a - a[0], b - a[0], size))
-            held += len(a)
-            if at + len(a) >= len(first):
+            held, held_bytes = held + len(a), held_bytes + size
+            if stop >= len(first):
                 break
+            at = stop - window + 1
     if parts:
         yield _join(parts)
 
@@ -129,10 +132,10 @@ def byte_units(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(text)), np.arange(1, len(text) + 1)
 
 
-def text_runs(texts: list[bytes], units, window: int, gram: int) -> Iterator[tuple]:
+def text_runs(texts: list[bytes], units, window: int, gram: int, digests: bool = True) -> Iterator[tuple]:
     """(text numbers, start units, windows, anchors, two digest halves) arrays, block by block.
 
-    A run's digest is the 128-bit hash of all bytes that its windows cover.
+    A run's digest is the 128-bit hash of all bytes that its windows cover; without `digests` both halves are None.
     """
     import xxhash
     digest = xxhash.xxh3_128_digest
@@ -140,8 +143,11 @@ def text_runs(texts: list[bytes], units, window: int, gram: int) -> Iterator[tup
         starts, count, anchor = anchored_runs(data, first, last, part, window, gram)
         if not len(starts):
             continue
+        own = part[starts]
+        if not digests:
+            yield text_of[own], starts + base[own], count, anchor, None, None
+            continue
         raw = data.tobytes()
         spans = zip(first[starts].tolist(), last[starts + count + window - 2].tolist())
         halves = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in spans]), "<i8").reshape(-1, 2)
-        own = part[starts]
         yield text_of[own], starts + base[own], count, anchor, halves[:, 0], halves[:, 1]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import text_runs
-from .common import write_table
+from .common import drop_table, write_table
 
 LAST = (1 << 63) - 1
 RUNS = "anchor long, d1 long, d2 long, order long, key long, start long, count long"
@@ -31,7 +31,7 @@ def _runs(texts: DataFrame, prepare: Callable, units: Callable, window: int, gra
         for batch in batches:
             order, key = batch["order"].to_numpy(), batch["key"].to_numpy()
             prepared = [prepare(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
-            for own, start, count, anchor, d1, d2 in text_runs(prepared, units, window, gram):
+            for own, start, count, anchor, d1, d2 in text_runs(prepared, units, window, gram, digests=not anchors_only):
                 if anchors_only:
                     yield pd.DataFrame({"anchor": anchor, "order": order[own]})
                 else:
@@ -49,7 +49,9 @@ def repeated_runs(texts: DataFrame, prepare: Callable, units: Callable, window:
         F.count(F.lit(1)).alias("n"), F.min("order").alias("lo"), F.max("order").alias("hi"))
     again = write_table(seen.filter("lo < hi" if across else "n > 1").select(F.col("anchor").alias("_anchor")), "anchors")
     runs = _runs(texts, prepare, units, window, gram, False)
-    return write_table(runs.join(again, F.col("anchor") == F.col("_anchor"), "left_semi"), "runs")
+    found = write_table(runs.join(again, F.col("anchor") == F.col("_anchor"), "left_semi"), "runs")
+    drop_table(again)
+    return found
 
 
 def run_classes(runs: DataFrame) -> DataFrame:

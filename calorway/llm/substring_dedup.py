@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .anchors import word_units
-from .common import write_table
+from .common import drop_table, write_table
 
 GRAM = 12
 
@@ -22,22 +22,38 @@ def joined_words(text: bytes) -> bytes:
     return b" ".join(text.split())
 
 
+#: window hashes that a task holds before it hands them on
+WINDOWS_AT_ONCE = 1 << 17
+
+
 def _window_rows(window: int):
     """Hashes of every window of the listed runs: the edges of the graph that are still open."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
+
+        def packed(parts):
+            half = np.frombuffer(b"".join([d for p in parts for d in p[0]]), "<i8").reshape(-1, 2)
+            sizes = [len(p[1]) for p in parts]
+            return pd.DataFrame({"w1": half[:, 0], "w2": half[:, 1], "order": np.repeat([p[3] for p in parts], sizes), "key": np.repeat([p[4] for p in parts], sizes),
+                                 "start": np.concatenate([p[1] for p in parts]), "run": np.concatenate([p[2] for p in parts])})
+
+        parts, held = [], 0
         for batch in batches:
-            digests, places, runs = [], [], []
-            for text, begin, count in zip(batch["text"], batch["start"], batch["count"]):
+            for text, begin, count, order, key in zip(batch["text"], batch["start"], batch["count"], batch["order"].tolist(), batch["key"].tolist()):
                 words = joined_words(text.encode("utf-8", "surrogatepass"))
                 first, last = word_units(words)
                 starts = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-                digests += [xxhash.xxh3_128_digest(words[a:b]) for a, b in zip(first[starts].tolist(), last[starts + window - 1].tolist())]
-                places.append(starts)
-                runs.append(np.repeat(begin, count))
-            half, sizes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), [len(p) for p in places]
-            yield pd.DataFrame({"w1": half[:, 0], "w2": half[:, 1], "order": np.repeat(batch["order"].to_numpy(), sizes),
-                                "key": np.repeat(batch["key"].to_numpy(), sizes), "start": np.concatenate(places), "run": np.concatenate(runs)})
+                runs = np.repeat(begin, count)
+                for at in range(0, len(starts), WINDOWS_AT_ONCE):
+                    some = starts[at:at + WINDOWS_AT_ONCE]
+                    digests = [xxhash.xxh3_128_digest(words[a:b]) for a, b in zip(first[some].tolist(), last[some + window - 1].tolist())]
+                    parts.append((digests, some, runs[at:at + WINDOWS_AT_ONCE], order, key))
+                    held += len(some)
+                    if held >= WINDOWS_AT_ONCE:
+                        yield packed(parts)
+                        parts, held = [], 0
+        if parts:
+            yield packed(parts)
     return run
 
 
@@ -86,16 +102,19 @@ def repeated_passages(routes: DataFrame, window: int = 50, gram: int = GRAM) ->
         "_order", "_key", "_start", "_first_key", "_first_start")
     moved = (single.join(same, (F.col("order") == F.col("_order")) & (F.col("key") == F.col("_first_key")) & (F.col("run") == F.col("_first_start")))
              .select("order", F.col("_key").alias("key"), (F.col("_start") + F.col("start") - F.col("run")).alias("start"), "count", "first"))
-    return write_table(compact_paths(later.unionByName(single.drop("run")).unionByName(moved)), "passages")
+    found = write_table(compact_paths(later.unionByName(single.drop("run")).unionByName(moved)), "passages")
+    for table in (runs, classes, edges, single):
+        drop_table(table)
+    return found
 
 
 def remove_repeats(routes: DataFrame, window: int = 50, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(route_id, text, n_words, n_removed, spans, carried) for every row of `routes` (route_id, text).
+    """(route_id, text, n_words, n_removed, spans, carried, whole) for every row of `routes` (route_id, text).
 
     A word goes if some window of `window` consecutive words over it also starts in a text
     with a smaller route_id; windows are judged on the input. `text` is the kept words
     joined by one space, `spans` the removed stretches (first_word, n_words), `carried` a
-    struct of the columns that `carry` names.
+    struct of the columns that `carry` names, `whole` the text as it came (empty for null).
 
     Ids must be numbers; a null id counts as larger than any other, and equal ids take
     nothing from each other. Null and empty texts have no words and keep an empty text.
@@ -116,5 +135,5 @@ def remove_repeats(routes: DataFrame, window: int = 50, gram: int = GRAM, carry:
 
     passages = repeated_passages(routes, window, gram)
     listed = R.text_lists(passages, R.keyed_texts(routes, carry), ["start", "count"], "left")
-    return (listed.select("route_id", "carried", cut("text", R.column_of("start"), R.column_of("count")).alias("_c"))
-            .select("route_id", "_c.*", "carried"))
+    return (listed.select("route_id", "carried", F.col("text").alias("whole"), cut("text", R.column_of("start"), R.column_of("count")).alias("_c"))
+            .select("route_id", "_c.*", "carried", "whole"))
