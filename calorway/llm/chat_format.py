@@ -19,24 +19,54 @@ REQUEST_SCHEMA = (
 
 
 def request_depths(calls: DataFrame) -> DataFrame:
-    """(request_id, depth): how many earlier requests a request waits for; null inside or behind a cycle.
+    """(request_id, depth): the longest chain of earlier requests that a request waits for; null inside or behind a cycle.
 
-    Pointer doubling: every round a request skips to the ancestor of its ancestor, so a
-    chain of n requests takes about log2 n rounds. Requests still open after more rounds
-    than there are doublings of the table are on or behind a cycle.
+    `calls` has a row per request and request that it waits for, or null; waits for a request that does not exist count as
+    none, repeated rows once. Requests with one wait form chains, which are followed by doubling: every round a request
+    skips to where the one it points to points, so a chain of n takes about log2 n rounds. Chains end at requests without a
+    wait or with several. Those with several are put in topological order in rounds of their own: one is placed once all
+    that it waits for are, a step deeper than the deepest. What is never placed is on or behind a cycle. Empty calls give no row.
     """
-    known = calls.select("request_id").distinct().withColumnRenamed("request_id", "_known")
-    edges = calls.groupBy("request_id").agg(F.min("after").alias("after"))
-    state = write_table(edges.join(known, F.col("after") == F.col("_known"), "left")
-                        .select("request_id", F.col("_known").alias("up"), F.when(F.col("_known").isNotNull(), 1).otherwise(0).cast("long").alias("depth")), "depths")
-    rounds = max(1, state.count()).bit_length() + 1
-    while rounds and not state.filter("up is not null").isEmpty():
-        there = state.select(F.col("request_id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        new = write_table(state.join(there, F.col("up") == F.col("_id"), "left")
-                          .select("request_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "depths")
+    ids = calls.select("request_id").distinct()
+    waits = calls.select("request_id", "after").distinct().join(ids.withColumnRenamed("request_id", "_known"), F.col("after") == F.col("_known")).drop("_known")
+    waits = write_table(waits, "waits")
+    count = waits.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.min("after").alias("one"))
+    single = F.col("n") == 1
+    state = write_table(ids.join(count, "request_id", "left").select(
+        "request_id", F.when(single, F.col("one")).alias("up"), F.when(single, 1).otherwise(0).cast("long").alias("steps"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("several")), "chains")
+    rounds, moved = max(1, state.count()).bit_length() + 1, True
+    while moved and rounds:
+        there = state.select(F.col("request_id").alias("_id"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
+        new = write_table(state.join(there, F.col("up") == F.col("_id"), "left").select(
+            "request_id", F.coalesce("_up", "up").alias("up"), (F.col("steps") + F.when(F.col("_up").isNotNull(), F.col("_steps")).otherwise(0)).alias("steps"),
+            "several", F.col("_up").isNotNull().alias("moved")), "chains")
         drop_table(state)
         state, rounds = new, rounds - 1
-    return state.select("request_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        moved = not state.filter("moved").isEmpty()
+    # a chain that still moves after so many doublings runs in a circle
+    based = state.select("request_id", F.when(~F.col("moved"), F.coalesce("up", "request_id")).alias("base"), "steps", "several")
+    ends = based.select(F.col("request_id").alias("_p"), F.col("base"), F.col("steps"))
+    open_waits = write_table(waits.join(based.filter("several").select("request_id"), "request_id", "left_semi").join(ends, F.col("after") == F.col("_p"))
+                             .select("request_id", "base", (F.col("steps") + 1).alias("steps"), F.lit(False).alias("met")), "waits")
+    placed = write_table(based.filter("base = request_id AND NOT several").select("request_id", F.lit(0).cast("long").alias("depth")), "placed")
+    done = [placed]
+    while not (open_waits.isEmpty() or placed.isEmpty()):
+        at = placed.select(F.col("request_id").alias("_b"), F.col("depth").alias("_depth"))
+        here = F.col("_b").isNotNull()
+        left = write_table(open_waits.join(at, F.col("base") == F.col("_b"), "left").select(
+            "request_id", F.when(~here, F.col("base")).alias("base"), (F.col("steps") + F.coalesce("_depth", F.lit(0))).alias("steps"), (here | F.col("met")).alias("met")), "waits")
+        ready = left.groupBy("request_id").agg(F.bool_and("met").alias("_all"), F.max("steps").alias("depth")).filter("_all").select("request_id", "depth")
+        placed = write_table(ready, "placed")
+        rest = write_table(left.join(placed.select("request_id"), "request_id", "left_anti"), "waits")
+        drop_table(open_waits)
+        drop_table(left)
+        open_waits = rest
+        done.append(placed)
+    bases = done[0]
+    for part in done[1:]:
+        bases = bases.unionByName(part)
+    bases = bases.select(F.col("request_id").alias("_b"), F.col("depth").alias("_depth"))
+    return based.join(bases, F.col("base") == F.col("_b"), "left").select("request_id", (F.col("_depth") + F.col("steps")).alias("depth"))
 
 
 def _errors(schema):

@@ -173,33 +173,35 @@ TURN_SCHEMA = (("role", "string", True, 1, 20), ("text", "string", True, 1, 2000
 
 
 @query("op9_chat_format", r"""
-WITH c AS (SELECT conv_id, turn, role, text, conv_id::VARCHAR || '/' || turn::VARCHAR AS id FROM conversations WHERE role = 'user'),
+WITH c AS (SELECT true AS called, conv_id, turn, role, text, conv_id::VARCHAR || '/' || turn::VARCHAR AS id FROM conversations WHERE role = 'user'),
 t AS (SELECT DISTINCT conv_id, turn FROM c),
 g AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM t),
 p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, run, turn % 2 ORDER BY turn) - 1 AS depth FROM g),
-r AS (SELECT conv_id, turn - 1 AS turn, text AS content, conv_id::VARCHAR || '/' || (turn - 1)::VARCHAR AS id FROM conversations WHERE role <> 'user'),
-j AS (SELECT c.conv_id IS NOT NULL AS called, r.conv_id IS NOT NULL AS given, coalesce(c.id, r.id) AS request_id,
+r AS (SELECT true AS given, conv_id, turn - 1 AS turn, text AS content, conv_id::VARCHAR || '/' || (turn - 1)::VARCHAR AS id FROM conversations WHERE role IS DISTINCT FROM 'user'),
+j AS (SELECT coalesce(c.called, false) AS called, coalesce(r.given, false) AS given, coalesce(c.id, r.id) AS request_id,
              c.conv_id, c.turn, c.role, c.text, r.content FROM c FULL JOIN r ON c.id = r.id),
 e AS (SELECT j.*, CASE WHEN NOT given THEN 'no_result' WHEN NOT called THEN 'no_call' ELSE 'linked' END AS status, p.depth,
              list_filter([CASE WHEN role IS NULL THEN 'role: missing' END, CASE WHEN length(role) < 1 THEN 'role: below 1' END,
                           CASE WHEN length(role) > 20 THEN 'role: above 20' END, CASE WHEN text IS NULL THEN 'text: missing' END,
                           CASE WHEN length(text) < 1 THEN 'text: below 1' END, CASE WHEN length(text) > 2000 THEN 'text: above 2000' END,
-                          CASE WHEN j.turn < 0 THEN 'turn: below 0' END], lambda x: x IS NOT NULL) AS errs
+                          CASE WHEN j.turn IS NULL THEN 'turn: missing' END, CASE WHEN j.turn < 0 THEN 'turn: below 0' END], lambda x: x IS NOT NULL) AS errs
       FROM j LEFT JOIN p ON j.conv_id = p.conv_id AND j.turn = p.turn)
 SELECT request_id, status, depth, called AND len(errs) = 0 AS valid, CASE WHEN called THEN array_to_string(errs, '; ') ELSE '' END AS errors,
-       '{' || CASE WHEN called THEN '"after":"' || conv_id::VARCHAR || '/' || (turn - 2)::VARCHAR || '","arguments":{' || '"role":' || to_json(role)::VARCHAR || ',' ||
-       CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text)::VARCHAR || ',' END || '"turn":' || turn::VARCHAR || '},' ELSE '' END ||
+       '{' || CASE WHEN called THEN coalesce('"after":"' || conv_id::VARCHAR || '/' || (turn - 2)::VARCHAR || '",', '') || '"arguments":{' || '"role":' || to_json(role)::VARCHAR ||
+       CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text)::VARCHAR END || coalesce(',"turn":' || turn::VARCHAR, '') || '},' ELSE '' END ||
        CASE WHEN content IS NULL THEN '' ELSE '"content":' || to_json(content)::VARCHAR || ',' END ||
-       '"request_id":' || to_json(request_id)::VARCHAR || ',"status":"' || status || '"}' AS record FROM e
+       coalesce('"request_id":' || to_json(request_id)::VARCHAR || ',', '') || '"status":"' || status || '"}' AS record FROM e
 """)
 def op9_chat_format(spark, sf):
+    """User turns as calls that wait for the user turn before, other turns as results of the turn before them."""
     turns = table(spark, sf, "conversations")
 
     def name(back):
-        return F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+        # null where the conversation or the turn is unknown
+        return F.concat(F.col("conv_id").cast("string"), F.lit("/"), (F.col("turn") - back).cast("string"))
 
-    calls = turns.filter("role = 'user'").select(name(0).alias("request_id"), name(2).alias("after"), F.struct("role", "text", "turn").alias("arguments"))
-    results = turns.filter("role <> 'user'").select(name(1).alias("request_id"), F.col("text").alias("content"))
+    calls = turns.filter("role <=> 'user'").select(name(0).alias("request_id"), name(2).alias("after"), F.struct("role", "text", "turn").alias("arguments"))
+    results = turns.filter("NOT role <=> 'user'").select(name(1).alias("request_id"), F.col("text").alias("content"))
     linked = link_route_calls(calls, results, TURN_SCHEMA)
     return linked.select("request_id", "status", "depth", "valid", F.array_join("errors", "; ").alias("errors"), "record")
 
