@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+#: weights are told apart to a millionth
+WEIGHT_UNIT = 1_000_000
+
+
 def _offset(source: Column, seed: int) -> Column:
     """One number in [0, 1) per source, the same in every run with this seed."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))
@@ -37,7 +43,9 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most
               .withColumn("_cap", most * F.col("source_size")).withColumn("_level", F.col("_cap") / F.col("_weight"))
               .select("label", "source_size", "_weight", "_cap", "_level", "_rank"))
     before = running_start(ranked.withColumn("_both", F.col("source_size")), "_both", ["_level", "_rank"], "_below")
-    before = running_start(before.withColumn("_whole", F.col("_weight").cast("long")), "_whole", ["_level", "_rank"], "_passed")
+    # weights as the whole numbers of a common unit, so that their running sum is exact
+    before = running_start(before.withColumn("_whole", F.rint(F.col("_weight") * WEIGHT_UNIT).cast("long")), "_whole", ["_level", "_rank"], "_passed")
+    before = before.withColumn("_passed", F.col("_passed") / float(WEIGHT_UNIT))
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("_total"), F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("_weights"))
     # the level if this label and all after it stay below their caps
     fits = (before.crossJoin(F.broadcast(total))
@@ -55,7 +63,8 @@ def mix_routes(routes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
     source_size times; the expected copies are added up in the order of (size, route_id)
     within the source, one offset is added, and a text is emitted once per whole number
     that its stretch crosses. Sorting by size spreads long and short texts evenly. `taken`
-    is copies * size; a rate of at most `most` crosses at most `most` whole numbers.
+    is copies * size; a rate of at most `most` crosses at most as many whole numbers as the
+    next whole number of `most`.
 
     A null label is a source of its own. Empty or null texts have size 0 and take 0 words;
     a source without words has target 0. Repeated rows count each. An empty table gives no
@@ -72,5 +81,5 @@ def mix_routes(routes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
     k = F.col("_at") - F.col("_first")
     crossed = F.floor((k + 1) * F.col("_rate") + F.col("_offset")) - F.floor(k * F.col("_rate") + F.col("_offset"))
     return (ranked.join(plan, F.col("label").eqNullSafe(F.col("_source")))
-            .withColumn("copies", F.least(crossed, F.lit(int(most))).cast("long"))
+            .withColumn("copies", F.least(crossed, F.lit(math.ceil(most))).cast("long"))
             .select("route_id", "label", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))

@@ -44,6 +44,19 @@ def test_mix_meets_targets_and_bounds(spark):
     assert mix_routes(df.limit(0)).count() == 0
 
 
+def test_targets_of_other_weights_and_limits(spark):
+    """A limit that is no whole number, and weights that are none either."""
+    rows = [(i, "ab"[i % 2], " ".join(["w"] * 10), 1) for i in range(1000)]
+    df = spark.createDataFrame(rows, "route_id long, label string, text string, copies int")
+    for weights, most in (((5, 2, 1), 1.5), ((0.5, 0.25, 0.1), 1.5), ((0.5, 2.5, 1), 2.0)):
+        taken, target = defaultdict(int), {}
+        for r in mix_routes(df, weights=weights, share=1.4, most=most).collect():
+            taken[r["label"]] += r["taken"]
+            target[r["label"]] = r["target"]
+        want = level({"a": 5000, "b": 5000}, weights, 1.4, most)
+        assert all(target[n] == pytest.approx(want[n]) and abs(taken[n] - want[n]) <= 20 for n in want)
+
+
 def test_linked_roots_follow_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(500, 560)] + [(3, 3), (9, 2), (2, 9)]
     got = dict(map(tuple, linked_roots(spark.createDataFrame(links, "a long, b long")).collect()))
