@@ -1,37 +1,5 @@
-"""Components of links by contraction: every round replaces nodes by their lowest neighbour."""
+"""Components of links; the method is the core's own."""
 
-from __future__ import annotations
+from ..operators.components import linked_roots
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import drop_table, write_table
-
-
-def linked_roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the lowest node reachable, for every node that has a link to another.
-
-    Each round maps a node to the least of itself and its neighbours and contracts the
-    links over that map, which at least halves the nodes, so all rounds together cost
-    little more than the first and none is capped. Hubs are met by grouped minima and by
-    joins whose link side can be split, never gathered.
-    """
-    links = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
-    links, maps = write_table(links, "links"), []
-    while not links.isEmpty():
-        both = links.union(links.select("b", "a"))
-        lower = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("low")), "lower")
-        maps.append(lower)
-        new = (links.join(lower, F.col("a") == F.col("node")).select(F.col("low").alias("_a"), "b")
-               .join(lower, F.col("b") == F.col("node")).select("_a", F.col("low").alias("_b"))
-               .filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
-        old, links = links, write_table(new, "links")
-        drop_table(old)
-    if not maps:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # compose from the last, smallest map back to the first
-    roots = maps.pop()
-    while maps:
-        lower, later = maps.pop(), roots.select(F.col("node").alias("_node"), F.col("low").alias("_low"))
-        roots = lower.join(later, F.col("low") == F.col("_node"), "left").select("node", F.coalesce("_low", "low").alias("low"))
-    return write_table(roots.select("node", F.col("low").alias("root")), "roots")
+__all__ = ["linked_roots"]

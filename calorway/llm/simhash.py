@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import drop_table, write_table
 from .links import linked_roots
 
 BITS = 64
@@ -292,6 +292,7 @@ def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     """
     rows = write_table(texts.select("order", "key", "text").mapInPandas(_set_rows(shingle, seed), "order long, key long, node long, n long, bands array<long>"), "bands")
     distinct = write_table(rows.groupBy("node").agg(F.min(F.struct("order", "key")).alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "prints")
+    drop_table(rows)
     listed = distinct.filter("n > 0").select("node", "n", F.explode("bands").alias("value"))
     shared = listed.groupBy(F.col("value").alias("_value")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     members = write_table(listed.join(shared, F.col("value") == F.col("_value"), "left_semi"), "members")
@@ -316,7 +317,11 @@ def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, s
                      .join(right, (F.col("_v") == F.col("value")) & (F.col("root1") < F.col("root2")) & alike))
         pairs = write_table(pairs.select("node1", "root1", "node2", "root2").distinct(), "candidates")
         merged = linked_roots(near_links(pairs, sets, similarity)).select(F.col("node").alias("_old"), F.col("root").alias("_low"))
-        roots = write_table(roots.join(merged, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_low", "root").alias("root")), "near_roots")
+        before, roots = roots, write_table(roots.join(merged, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_low", "root").alias("root")), "near_roots")
+        drop_table(before)
+        drop_table(pairs)
+    drop_table(members)
+    drop_table(sets)
     named = roots.select(F.col("node").alias("_node"), "root")
     return (distinct.join(named, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root"))
             .agg(F.min("low").alias("low")).select("low.order", "low.key"))
