@@ -11,6 +11,9 @@ from .. import constants as C
 from ..functions import geometry as G
 from .cells import box_cells, cell_join, point_cells
 
+#: distances are told apart to the micrometre
+TOUCH_M = 1e-6
+
 
 def boundary_points(parks: DataFrame, step_m: float = C.PARK_BOUNDARY_STEP_M) -> DataFrame:
     """(park_id, part, pos, x_m, y_m) round every outer ring, at least four per ring."""
@@ -28,13 +31,13 @@ def edge_segments(edges: DataFrame) -> DataFrame:
 
 
 def park_entrances(points: DataFrame, edges: DataFrame, reach_m: float = C.PARK_SIDEWALK_REACH_M) -> DataFrame:
-    """Outline points within reach of the walking network's true geometry."""
+    """Outline points within reach of the walking network's true geometry; a micrometre is no distance."""
     size = 4.0 * reach_m
     lines = box_cells(edge_segments(edges), F.least("ax", "bx") - reach_m, F.least("ay", "by") - reach_m,
                       F.greatest("ax", "bx") + reach_m, F.greatest("ay", "by") + reach_m, size)
     gap = G.point_segment_distance(F.col("x_m"), F.col("y_m"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     cells = point_cells(points.withColumn("_pid", F.xxhash64("park_id", "part", "pos")), "x_m", "y_m", size)
-    return cell_join(cells, lines, "_pid", gap <= reach_m, "left_semi").drop("cell_x", "cell_y", "salt", "_pid")
+    return cell_join(cells, lines, "_pid", gap <= reach_m + TOUCH_M, "left_semi").drop("cell_x", "cell_y", "salt", "_pid")
 
 
 def thin_gates(points: DataFrame, separation_m: float = C.PARK_GATE_SEPARATION_M, limit: int | None = None) -> DataFrame:
@@ -48,7 +51,7 @@ def thin_gates(points: DataFrame, separation_m: float = C.PARK_GATE_SEPARATION_M
         xy = pdf[["x_m", "y_m"]].to_numpy()
         kept: list[int] = []
         for i, here in enumerate(xy):
-            if not kept or np.hypot(*(xy[kept] - here).T).min() >= separation_m:
+            if not kept or np.hypot(*(xy[kept] - here).T).min() >= separation_m - TOUCH_M:
                 kept.append(i)
         if limit is not None and len(kept) > limit:
             spread = np.rint(np.linspace(0, len(kept) - 1, limit)).astype(int)

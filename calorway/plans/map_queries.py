@@ -283,7 +283,7 @@ PARKS = {
         SELECT park_id, pos, any_value(px) AS px, any_value(py) AS py FROM (SELECT *, floor(px / 60) AS cx, floor(py / 60) AS cy FROM outline) o
         JOIN (SELECT *, unnest(range(floor((least(ax, bx) - 15) / 60)::BIGINT, floor((greatest(ax, bx) + 15) / 60)::BIGINT + 1)) AS cx,
                      floor((least(ay, yb) - 15) / 60)::BIGINT AS lo, floor((greatest(ay, yb) + 15) / 60)::BIGINT AS hi FROM edges) e ON o.cx = e.cx AND o.cy BETWEEN lo AND hi
-        WHERE sqrt(pow(px - (ax + (bx - ax) * s(ax, ay, bx, yb, px, py)), 2) + pow(py - (ay + (yb - ay) * s(ax, ay, bx, yb, px, py)), 2)) <= 15 GROUP BY 1, 2""")}
+        WHERE sqrt(pow(px - (ax + (bx - ax) * s(ax, ay, bx, yb, px, py)), 2) + pow(py - (ay + (yb - ay) * s(ax, ay, bx, yb, px, py)), 2)) <= 15 + 1e-6 GROUP BY 1, 2""")}
 SHARE = "greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (yb - ay)) / (pow(bx - ax, 2) + pow(yb - ay, 2))))"
 PARKS["gates"] = (PARKS["gates"][0], PARKS["gates"][1].replace("s(ax, ay, bx, yb, px, py)", SHARE))
 
@@ -317,7 +317,7 @@ PARKS |= {
     "thin": (("in_order",), """
         SELECT DISTINCT park_id, 0::BIGINT AS i, 0::BIGINT AS pos, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept, false AS took FROM in_order
         UNION ALL SELECT park_id, i, pos, px, py, CASE WHEN free THEN list_append(kept, struct_pack(x := px, y := py)) ELSE kept END, free FROM (
-          SELECT o.park_id, o.i, o.pos, o.px, o.py, t.kept, len(list_filter(t.kept, lambda k: sqrt(pow(k.x - o.px, 2) + pow(k.y - o.py, 2)) < 80)) = 0 AS free
+          SELECT o.park_id, o.i, o.pos, o.px, o.py, t.kept, len(list_filter(t.kept, lambda k: sqrt(pow(k.x - o.px, 2) + pow(k.y - o.py, 2)) < 80 - 1e-6)) = 0 AS free
           FROM thin t JOIN in_order o ON o.park_id = t.park_id AND o.i = t.i + 1)""")}
 
 

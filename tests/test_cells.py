@@ -82,9 +82,9 @@ def test_bends_tighter_than_the_offset_keep_their_inner_sidewalk(spark):
         # nothing of the arc is left: the two legs meet
         assert [tuple(round(v, 6) for v in p) for p in got] == [(0.0, round(by, 6)), (round(40 + radius - by, 6), round(by, 6)), (round(40 + radius - by, 6), round(radius + 40, 6))]
     wide = offsets(spark, [corner(20.0)], by)[0]
-    assert len(wide) == 10 and all(math.dist(p, (40.0, 20.0)) == pytest.approx(20.0 - by, abs=0.15) for p in wide[2:-2])
+    assert len(wide) == 11 and all(math.dist(p, (40.0, 20.0)) == pytest.approx(20.0 - by, abs=0.15) for p in wide[2:-2])
     outer = offsets(spark, [corner(6.0)], -by)[0]
-    assert len(outer) == 10 and all(math.dist(p, (40.0, 6.0)) == pytest.approx(6.0 + by, abs=0.15) for p in outer[2:-2])
+    assert len(outer) == 11 and all(math.dist(p, (40.0, 6.0)) == pytest.approx(6.0 + by, abs=0.15) for p in outer[2:-2])
 
 
 def test_offsets_that_vanish_straight_lines_and_spikes(spark):
