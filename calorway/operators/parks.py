@@ -19,7 +19,7 @@ def boundary_points(parks: DataFrame, step_m: float = C.PARK_BOUNDARY_STEP_M) ->
     """(park_id, part, pos, x_m, y_m) round every outer ring, at least four per ring."""
     ring = F.col("rings")[0]
     rows = parks.select("park_id", "part", ring.alias("ring"), G.path_length(ring).alias("len")).filter("len > 0")
-    rows = rows.withColumn("n", F.greatest(F.lit(4), F.floor(F.col("len") / step_m).cast("int")))
+    rows = rows.withColumn("n", F.greatest(F.lit(4), F.floor((F.col("len") + TOUCH_M) / step_m).cast("int")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
     at = G.interpolate(F.col("ring"), F.col("pos") * F.col("len") / F.col("n"))
     return rows.select("park_id", "part", "pos", at.alias("p")).select("park_id", "part", "pos", F.col("p.x").alias("x_m"), F.col("p.y").alias("y_m"))
