@@ -183,19 +183,22 @@ def _sorted_blocks(window: int, block_bytes: int):
         return pd.concat([done, more])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
-            group = batch["anchor"].to_numpy() * 31 + batch["salt"].to_numpy()
-            edges = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(batch))
-            at = 0
+            if batch.empty:
+                continue
+            anchor, salt = batch["anchor"].to_numpy(), batch["salt"].to_numpy()
+            edges = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
+            if (anchor[0], salt[0]) != last:
+                edges = np.append(0, edges)
+            taken, at = np.append(0, np.cumsum(batch["count"].to_numpy() + window)), 0
+            # a block ends at the first border of groups past its size
             for edge in edges.tolist():
-                if size >= block_bytes and (at > 0 or not held or tuple(held[-1][["anchor", "salt"]].iloc[-1]) != tuple(batch[["anchor", "salt"]].iloc[0])):
-                    yield settle(pd.concat(held, ignore_index=True))
-                    held, size = [], 0
-                part = batch.iloc[at:edge]
-                held.append(part)
-                size += int(part["count"].sum()) + window * len(part)
-                at = edge
+                if size + taken[edge] - taken[at] >= block_bytes:
+                    yield settle(pd.concat([*held, batch.iloc[at:edge]], ignore_index=True))
+                    held, size, at = [], 0, edge
+            held.append(batch.iloc[at:])
+            size, last = size + int(taken[-1] - taken[at]), (anchor[-1], salt[-1])
         if held:
             yield settle(pd.concat(held, ignore_index=True))
     return run
