@@ -230,7 +230,8 @@ def departure_curve(points: DataFrame, by: list[str]) -> DataFrame:
     """Adds point_no, now_index and best_index; departures without a path have no row."""
     order = W.partitionBy(*by).orderBy("depart_s")
     rows = points.withColumn("point_no", F.row_number().over(order) - 1).withColumn("now_index", F.lit(0))
-    best = rows.groupBy(*by).agg(F.min_by("point_no", F.struct("best_mean_c", "point_no")).alias("best_index"))
+    # means that agree to a millionth of a degree are equal, and the earlier departure counts
+    best = rows.groupBy(*by).agg(F.min_by("point_no", F.struct(F.round("best_mean_c", 6), "point_no")).alias("best_index"))
     return rows.join(best, by)
 
 

@@ -229,7 +229,7 @@ SWEPT = {
 
 
 @query("departure_curve", recursive(compose("""
-    SELECT trip_id::BIGINT AS trip_id, depart_s::BIGINT AS depart_s, point_no::BIGINT AS point_no, first_value(point_no) OVER (PARTITION BY trip_id ORDER BY best_mean_c, point_no)::BIGINT AS best_index,
+    SELECT trip_id::BIGINT AS trip_id, depart_s::BIGINT AS depart_s, point_no::BIGINT AS point_no, first_value(point_no) OVER (PARTITION BY trip_id ORDER BY round(best_mean_c, 6), point_no)::BIGINT AS best_index,
            round(best_mean_c, 3) AS best_mean_c, round(best_duration_s, 3) AS best_duration_s FROM points""", "points", extra=SWEPT)))
 def departure_curve(spark, sf):
     """Every trip searched at four departures of the next hour; the bounds of its ends serve them all."""
