@@ -20,8 +20,10 @@ WORDS_AT_ONCE = 1 << 16
 ROW_COST, PAIR_COST = 100.0, 1.0
 #: values of a text's shingle set and least hashes in each
 BANDS, BAND_ROWS = 24, 5
-#: rounds that compare the members of a value with one of them, before all that are still apart
+#: rounds that compare the members of a value with one of them, before those still apart meet by rare shingles
 PIVOTS = 3
+#: sets that one salt of a shingle compares
+SALT_ROWS = 2000
 
 
 def text_fingerprint(text: str | None, shingle: int, seed: int = 42, wide: bool = False) -> tuple[int, int]:
@@ -277,6 +279,38 @@ def near_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             .filter(F.col("_s") / (F.col("_t") - F.col("_s")) >= similarity).select(F.col("root1").alias("a"), F.col("root2").alias("b")).distinct())
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node1, root1, node2, root2): pairs of `nodes` (node, root) with unlike roots whose `sets` (node, hashes) can have a Jaccard of `similarity`.
+
+    Shingles are ordered rare first, by the number of these sets that hold them. Sets of n
+    and m shingles at `similarity` s share at least t = s (n + m) / (1 + s), so the first
+    one they share lies at or before n - t in one and m - t in the other, counted from
+    zero; pairs are those that hold a shingle at such places. No pair at s or more is
+    missing, and a common shingle is a key only for sets that hardly have rarer ones.
+    Keys of many sets are split by salts. Empty sets are in no pair.
+    """
+    held = nodes.join(sets.select(F.col("node").alias("_s"), "hashes"), F.col("node") == F.col("_s"))
+    each = write_table(held.select("node", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "shingles")
+    many = each.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # shingles of one set alone come first and are never shared, so they only move the others back
+    ordered = (each.join(many, F.col("h") == F.col("_h")).groupBy("node", "root", "n")
+               .agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("common"))
+               .withColumn("alone", F.col("n") - F.size("common")))
+    reach = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - F.col("alone")
+    prefix = (ordered.filter(reach > 0).select("node", "root", "n", "alone", F.posexplode(F.slice("common", F.lit(1), reach.cast("int"))).alias("k", "e"))
+              .select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("rest"), "e.c", "e.h"))
+    prefix = write_table(prefix.withColumn("salts", (F.col("c") / SALT_ROWS).cast("int") + 1).drop("c"), "prefixes")
+    drop_table(each)
+    one, two = (prefix.select("h", "salts", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "rest")]) for k in (1, 2))
+    one = one.withColumn("salt", F.pmod(F.xxhash64("node1"), F.col("salts")).cast("int")).drop("salts")
+    two = two.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    needed = F.col("n1") + F.col("n2")
+    fits = F.least("rest1", "rest2") >= needed * (similarity / (1 + similarity)) - 1e-9
+    return (one.withColumnsRenamed({"h": "_h", "salt": "_salt"})
+            .join(two, (F.col("_h") == F.col("h")) & (F.col("_salt") == F.col("salt")) & (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & fits)
+            .select("node1", "root1", "node2", "root2"))
+
+
 def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(order, key): the first text of each group of near copies in `texts` (order, key, text).
 
@@ -287,8 +321,8 @@ def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     copies of near copies belong to one group.
 
     The members of a value are first compared with a few of them only, so that a dense
-    group is joined by links in proportion to its size; then all pairs of a value that are
-    still apart are compared.
+    group is joined by links in proportion to its size; members of values that are still
+    apart are then joined on the rare ends of their sets (`prefix_pairs`).
     """
     rows = write_table(texts.select("order", "key", "text").mapInPandas(_set_rows(shingle, seed), "order long, key long, node long, n long, bands array<long>"), "bands")
     distinct = write_table(rows.groupBy("node").agg(F.min(F.struct("order", "key")).alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "prints")
@@ -307,14 +341,13 @@ def first_of_near(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, s
         placed = members.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
         apart = placed.groupBy(F.col("value").alias("_value")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by(
             F.struct("node", "root", "n"), F.xxhash64("node", F.lit(step))).alias("pivot")).filter("_lo < _hi")
-        left = placed.select(F.col("value").alias("_v"), *[F.col(c).alias(c + "1") for c in ("node", "root", "n")])
         if step < PIVOTS:
+            left = placed.select(F.col("value").alias("_v"), *[F.col(c).alias(c + "1") for c in ("node", "root", "n")])
             right = apart.select("_value", *[F.col("pivot")[c].alias(c + "2") for c in ("node", "root", "n")])
             pairs = left.join(right, (F.col("_v") == F.col("_value")) & (F.col("root1") != F.col("root2")) & alike)
         else:
-            right = placed.select("value", *[F.col(c).alias(c + "2") for c in ("node", "root", "n")])
-            pairs = (left.join(apart.select("_value"), F.col("_v") == F.col("_value"), "left_semi")
-                     .join(right, (F.col("_v") == F.col("value")) & (F.col("root1") < F.col("root2")) & alike))
+            open_nodes = placed.join(apart.select("_value"), F.col("value") == F.col("_value"), "left_semi").select("node", "root").distinct()
+            pairs = prefix_pairs(open_nodes, sets, similarity)
         pairs = write_table(pairs.select("node1", "root1", "node2", "root2").distinct(), "candidates")
         merged = linked_roots(near_links(pairs, sets, similarity)).select(F.col("node").alias("_old"), F.col("root").alias("_low"))
         before, roots = roots, write_table(roots.join(merged, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_low", "root").alias("root")), "near_roots")

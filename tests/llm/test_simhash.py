@@ -122,3 +122,59 @@ def test_near_copies_are_those_of_similar_shingle_sets(spark):
     rows = [(i, i, " ".join(t)) for i, t in enumerate(texts)]
     got = S.first_of_near(spark.createDataFrame(rows, "order long, key long, text string")).collect()
     assert sorted(r["order"] for r in got) == [i for i in range(len(texts)) if find(i) == i]
+
+
+def word_sets(texts):
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def firsts_by_brute_force(texts, least=0.8):
+    sets, parent = word_sets(texts), list(range(len(texts)))
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    empty = [i for i, s in enumerate(sets) if not s]
+    pairs = {(i, j) for listed in holders.values() for i, j in itertools.combinations(listed, 2)} | set(zip(empty, empty[1:]))
+    for i, j in pairs:
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_first_of_near_equals_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts = [r["text"] for r in docs]
+    got = S.first_of_near(spark.createDataFrame(list(zip(range(len(texts)), range(len(texts)), texts)), "order long, key long, text string")).collect()
+    assert sorted(r["order"] for r in got) == firsts_by_brute_force(texts)
+
+
+@pytest.mark.parametrize("salt_rows", [2000, 3])
+def test_prefix_pairs_miss_no_similar_pair(spark, monkeypatch, salt_rows):
+    monkeypatch.setattr(S, "SALT_ROWS", salt_rows)
+    rng, sets = random.Random(21), [[], [7]]
+    for size in (1, 5, 40, 90):
+        base = rng.sample(range(10_000), size)
+        for _ in range(25):  # a dense group whose members are alike between 0.5 and 1
+            kept = [x for x in base if rng.random() > 0.09]
+            sets.append(sorted(set(kept + rng.sample(range(10_000, 20_000), rng.randint(0, size // 8)))))
+    rows = [(i, i, s) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame([r[:2] for r in rows], "node long, root long")
+    held = spark.createDataFrame([(r[0], r[2]) for r in rows], "node long, hashes array<long>")
+    got = {(r["node1"], r["node2"]) for r in S.prefix_pairs(nodes, held, 0.8).collect()}
+    as_sets = [set(s) for s in sets]
+    similar = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+               if as_sets[i] & as_sets[j] and len(as_sets[i] & as_sets[j]) >= 0.8 * len(as_sets[i] | as_sets[j])}
+    touching = sum(bool(a & b) for a, b in itertools.combinations(as_sets, 2))
+    # of the pairs that share something but are not similar, most never meet
+    assert similar <= got and len(similar) > 100 and len(got - similar) < (touching - len(similar)) / 2
+    joined = spark.createDataFrame([(r[0], 0) for r in rows], "node long, root long")
+    assert S.prefix_pairs(joined, held, 0.8).count() == 0 and S.prefix_pairs(nodes.limit(0), held, 0.8).count() == 0
